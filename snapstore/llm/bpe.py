@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterable
 
 #: White space other than space and line feed, as Python and Unicode know it.
 _OTHER_WHITE = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
@@ -62,19 +63,23 @@ def units_of(text: str) -> list[str]:
 
 
 class UnitMemo:
-    """``encode``: a text's ids as little-endian unsigned 32-bit bytes.  The memo is bounded by ``limit`` units."""
+    """``encode_all``: ids of texts as little-endian unsigned 32-bit bytes.
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    The memo keeps at most ``limit`` units from one call to the next: units that come when it is full are forgotten
+    after their call, and after many such calls it starts anew, in case the texts have changed.
+    """
+
+    def __init__(self, path: str, limit: int = 350_000):
         self.tokenizer = load_tokenizer(path)
         self.specials = special_strings(self.tokenizer)
-        self.limit, self.memo = limit, {}
+        self.limit, self.memo, self.overflows = limit, {}, 0
         self.tails = dict(zip(_TAIL, self._library(list(_TAIL)), strict=True))
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
-    def remember(self, units: list[str]) -> None:
+    def remember(self, units: Iterable[str]) -> None:
         """Fill the memo for later units (never first ones).
 
         A unit of Latin letters is one pre-token, so its merges are asked for directly; one punctuation mark after
@@ -100,10 +105,7 @@ class UnitMemo:
         special = [any(s in t for s in self.specials) if t else False for t in texts]
         cut = [units_of(t) if t and not s else [] for t, s in zip(texts, special, strict=True)]
         needed = {u for units in cut for u in units[1:]} - self.memo.keys()
-        if len(self.memo) + len(needed) > self.limit:
-            self.memo.clear()
-            needed = {u for units in cut for u in units[1:]}
-        self.remember(list(needed))
+        self.remember(needed)
         first = iter(self._library([units[0] for units in cut if units]))
         whole = iter(self._library([t for t, s in zip(texts, special, strict=True) if s]))
         look, out = self.memo.__getitem__, []
@@ -114,6 +116,12 @@ class UnitMemo:
                 out.append(next(first) + b"".join(map(look, units[1:])))
             else:
                 out.append(b"")
+        if len(self.memo) > self.limit:
+            self.overflows += 1
+            for u in needed:
+                del self.memo[u]
+            if self.overflows % 500 == 0:
+                self.memo.clear()
         return out
 
 
