@@ -29,7 +29,7 @@ def prove_whole_tokens(tokenizer) -> frozenset[str]:
 class TokenCounter:
     """Counts tokens of whole texts; ``merged`` counts how many pre-tokens needed the merge table."""
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 600_000):
         import regex
 
         self.tokenizer = load_tokenizer(path)

@@ -18,6 +18,8 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 _tables: dict[str, list[tuple[SparkSession, str]]] = {}
 _shipped: set[str] = set()
@@ -97,4 +99,27 @@ def batches(source: Iterator[pa.RecordBatch], text: str, max_bytes: int = 4 << 2
             yield batch.slice(start)
 
 
+def with_decisions(docs: DataFrame, id_col: str, text_col: str, make, fields: str) -> DataFrame:
+    """Columns ``row`` (all of a document's columns) and those of ``fields``, in one pass without a shuffle.
+
+    ``make()`` runs once a task and returns a function of (ids, texts) that gives one list for each of the fields.
+    The document's own columns stay inside ``row``, so their names can't clash with those of the fields.
+    """
+    ship(docs.sparkSession)
+    kind = T.StructType([T.StructField("row", docs.schema, False), *T._parse_datatype_string(fields).fields])
+
+    def run(source):
+        decide = make()
+        for batch in source:
+            row = batch.column("row")
+            slim = pa.RecordBatch.from_arrays([row, row.field(id_col), row.field(text_col).cast(pa.string())], ["row", "id", "text"])
+            for part in batches([slim], "text"):
+                columns = decide(part.column("id").to_pylist(), part.column("text").to_pylist())
+                arrays = [pa.array(c, t) for c, t in zip(columns, arrow_kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("row"), *arrays], kind.names)
+
+    arrow_kinds = [to_arrow_type(f.dataType) for f in kind.fields[1:]]
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")).mapInArrow(run, kind)
+
+
 import pyarrow.compute  # noqa: E402, F401  makes pa.compute available
