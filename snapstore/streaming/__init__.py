@@ -1,0 +1 @@
+"""Every input of the snapshot model is a bounded batch; there is no stream operator to offer."""
