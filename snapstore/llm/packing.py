@@ -141,17 +141,18 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, e
     return dealt.mapInArrow(pack, "doc_id long, start long, doc_tokens long, sequence_id long, offset long, ids binary").withColumnRenamed("doc_id", id_col)
 
 
-def piece_digests(pieces: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``length`` and ``ids_crc32`` in place of a piece's ids."""
+def piece_digests(pieces: DataFrame, id_col: str = "doc_id", keep_ids: bool = False) -> DataFrame:
+    """``length`` and ``ids_crc32`` of each piece's ids; the ids themselves only with ``keep_ids``."""
+    names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def digest(source):
         for batch in source:
             ids = batch.column("ids").to_pylist()
             n, crc = pa.array([len(b) // 4 for b in ids], pa.int64()), pa.array([zlib.crc32(b) for b in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("start"), n, crc, *(batch.column(c) for c in ("doc_tokens", "sequence_id", "offset"))], [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            own = [batch.column(id_col), batch.column("start"), n, crc, *(batch.column(c) for c in ("doc_tokens", "sequence_id", "offset"))]
+            yield pa.RecordBatch.from_arrays([*own, batch.column("ids")], [*names, "ids"]) if keep_ids else pa.RecordBatch.from_arrays(own, names)
 
-    kinds = f"{id_col} long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return pieces.mapInArrow(digest, kinds)
+    return pieces.mapInArrow(digest, ", ".join(f"{c} long" for c in names) + ", ids binary" * keep_ids)
 
 
 def ids_of(piece: bytes) -> list[int]:
