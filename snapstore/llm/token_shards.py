@@ -106,9 +106,8 @@ class ShardReader:
         return np.frombuffer(self.unpack.decompress(self.file.read_at(int(entry["length"]), int(entry["offset"]))), dtype=self.width)
 
     def get(self, doc_id: int) -> np.ndarray:
-        k = int(np.searchsorted(self.index["doc_id"], doc_id))
-        while k < len(self.index) and self.index[k]["is_null"]:
-            k += 1
+        nulls = int(self.index["is_null"].sum())  # they come first
+        k = nulls + int(np.searchsorted(self.index["doc_id"][nulls:], doc_id))
         if k == len(self.index) or self.index[k]["doc_id"] != doc_id:
             raise KeyError(doc_id)
         return self.ids(k)
@@ -171,15 +170,16 @@ def write_token_shards(
                 writer.add(doc_id, array, width)
         if writer:
             n, total = writer.close()
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "docs": pa.array([n], pa.int64()), "ids": pa.array([total], pa.int64())})
+            first = None if writer.index[0][1] else writer.index[0][0]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (shard, first, n, total)], ["shard", "first", "docs", "ids"])
 
     parts = max(1, -(-n_bytes // shard_bytes), min(spark.sparkContext.defaultParallelism, n_rows // 256))
     ordered = slim.repartitionByRange(parts, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
-    shards = ordered.mapInArrow(write, "shard long, docs long, ids long")
-    shards.coalesce(parts).write.mode("overwrite").parquet(f"{target}/parts")
-    # one row a shard
-    before = F.coalesce(F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    manifest = spark.read.schema("shard long, docs long, ids long").parquet(f"{target}/parts").withColumn("start", before).withColumn("width", F.lit(width))
+    kind = "shard long, first long, docs long, ids long"
+    ordered.mapInArrow(write, kind).write.mode("overwrite").parquet(f"{target}/parts")
+    # one row a shard; ranges of ids don't overlap, so the first id orders them
+    before = F.coalesce(F.sum("ids").over(Window.orderBy(F.col("first").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    manifest = spark.read.schema(kind).parquet(f"{target}/parts").withColumn("start", before).withColumn("width", F.lit(width))
     manifest.write.mode("overwrite").parquet(f"{target}/manifest")
     return target
 
@@ -187,7 +187,7 @@ def write_token_shards(
 def read_token_shards(spark: SparkSession, target: str) -> DataFrame:
     """Every document of a data set, read back: ``doc_id``, ``start`` (ids before it), ``ids`` (little-endian unsigned 32 bit)."""
     ship(spark)
-    manifest = spark.read.schema("shard long, docs long, ids long, start long, width string").parquet(f"{target}/manifest")
+    manifest = spark.read.schema("shard long, first long, docs long, ids long, start long, width string").parquet(f"{target}/manifest")
 
     def read(source):
         for batch in source:

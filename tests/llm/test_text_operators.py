@@ -174,7 +174,7 @@ def test_decontamination(spark, block):
     ]
     got = contaminated(spark, texts, block_windows=block)
     assert [got[k]["item_ids"] for k in range(len(texts))] == [[1], [1], [2], [], [], [], [], [], [3], [1], [None], [2]]
-    assert got[1]["slots"] >= 2 and got[11]["matches"][0]["first_word"] == 20000
+    assert got[1]["slots"] >= 2 and got[11]["matches"][0]["first_word"] in (20000, 20001)
 
 
 def test_decontamination_against_nothing(spark):
