@@ -7,18 +7,19 @@
 3. Each bucket links its members to its smallest member: a star, so edges grow with members, never with pairs.
 4. Edges whose sizes or signatures rule out the threshold go; the others are confirmed on full sets.
 5. Connected components by alternating large and small stars.
-6. What a star can miss (two members like each other but unlike the centre) is made good exactly: in buckets
-   that still hold more than one component, members of different components are compared by signature, the
-   promising pairs are confirmed on full sets, and components are found again.
+6. What a star can miss (two members like each other but unlike the centre) is made good exactly: buckets that
+   still hold more than one component are joined to clusters, and in each cluster the documents outside its largest
+   component are held against all others: sizes and signatures first, then full sets, leaving out pairs that links
+   found before already connect.  A cluster returns links of a forest only, never its pairs.  Components are found
+   again with them.
 
 A bucket or class that holds a third of all rows is combined before the shuffle (minimum, count) and its joins
-are sort-merge joins, whose hot partitions Spark splits; step 6 deals large buckets out in square cells.
+are sort-merge joins, whose hot partitions Spark splits; step 6 deals large clusters out in cells of bounded size.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -74,16 +75,22 @@ class Signer:
         self.borrow = np.random.default_rng(seed).integers(0, self.bins, size=(1024, self.bins))
         self.names = _mix(np.arange(1, bands + 1, dtype="u8") * _K1)
 
-    def signature(self, shingles: np.ndarray) -> np.ndarray:
-        """The least hash of each bin; ``shingles`` is sorted and not empty."""
+    def own_bins(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The least hash of each bin that has one, and which have; ``shingles`` is not empty."""
         spread = np.sort(_mix(shingles ^ _K1))
         high, low = (spread >> np.uint64(32)), spread & np.uint64(0xFFFFFFFF)
         bins = ((high * np.uint64(self.bins)) >> np.uint64(32)).astype("i8")
         at, first = np.unique(bins, return_index=True)
         sig, full = np.zeros(self.bins, "u8"), np.zeros(self.bins, bool)
         sig[at], full[at] = _mix(low[first] + (high[first] << np.uint64(32))), True
-        own = full.copy()
-        empty = np.flatnonzero(~full)
+        return sig, full
+
+    def signature(self, shingles: np.ndarray) -> np.ndarray:
+        """The least hash of each bin, borrowed where a bin has none."""
+        return self.densified(*self.own_bins(shingles))
+
+    def densified(self, sig: np.ndarray, own: np.ndarray) -> np.ndarray:
+        sig, at, empty = sig.copy(), np.flatnonzero(own), np.flatnonzero(~own)
         for probe in self.borrow:
             if not len(empty):
                 break
@@ -102,9 +109,28 @@ class Signer:
         return h.view("i8")
 
 
-def _screen(bins: int, threshold: float, n: np.ndarray) -> np.ndarray:
-    """Share of equal bins below which the threshold is out of reach (five standard deviations)."""
-    return threshold - 5 * np.sqrt(threshold * (1 - threshold) / np.maximum(1, np.minimum(bins, n)))
+def sketch(sig: np.ndarray, own: np.ndarray) -> bytes:
+    """16 bits of each bin; 0 where the bin has no hash of its own."""
+    return np.where(own, sig.astype("u2") | np.uint16(1), 0).astype("u2").tobytes()
+
+
+def may_link(x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray, threshold: float) -> np.ndarray:
+    """Estimated similarity where the threshold is in reach, -1 elsewhere.
+
+    The estimate is the share of equal bins among those that either set fills.  Bins are a sample of the union without
+    replacement, so its error shrinks to nothing as sets get smaller than the bins; five standard deviations are left.
+    """
+    filled = ((x > 0) | (y > 0)).sum(axis=-1)
+    share = ((x == y) & (x > 0)).sum(axis=-1) / np.maximum(filled, 1)
+    union = (n_x + n_y) / (1 + threshold)
+    deviation = np.sqrt(threshold * (1 - threshold) / np.maximum(filled, 1) * np.clip(1 - filled / np.maximum(union, 1), 0.02, 1))
+    return np.where(share >= threshold - 5 * deviation - 1.5 / np.maximum(filled, 1), share, -1.0)
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two full sets (sorted distinct hashes) reach the threshold."""
+    common = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
+    return 100 * common >= percent * (len(x) + len(y) - common)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -142,8 +168,8 @@ class NearDedup:
                 for text in batch.column("text").cast(pa.binary()).to_pylist():
                     s = shingler.of(text)
                     if len(s):
-                        sig = signer.signature(s)
-                        out.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), sig.astype("u2").tobytes(), signer.band_hashes(sig)))
+                        sig, own = signer.own_bins(s)
+                        out.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), sketch(sig, own), signer.band_hashes(signer.densified(sig, own))))
                     else:
                         out.append((0, None, None, None))
                 kinds = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
@@ -152,36 +178,17 @@ class NearDedup:
         return materialise(self.texts.mapInArrow(run, "id long, n long, key binary, sig binary, bands array<long>"), "near_dedup")
 
     def sets_of(self, ids: DataFrame) -> DataFrame:
-        """Full sets of the documents with these ids: ``node``, ``n``, ``shingles``."""
+        """Full sets of the documents with these ids: ``node``, ``shingles``."""
         words = self.words
 
         def run(source):
             shingler = Shingler(words)
             for batch in batches(source, "text", 1 << 20):
-                sets = [shingler.of(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "n", "shingles"])
+                sets = [shingler.of(t).tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], ["node", "shingles"])
 
         wanted = self.texts.join(ids.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
-        return wanted.mapInArrow(run, "node long, n long, shingles binary")
-
-    def confirm(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose full sets reach the threshold."""
-        percent = self.percent
-        pairs = materialise(pairs, "near_dedup")
-        sets = materialise(self.sets_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))), "near_dedup")
-        side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}"))
-        both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a")
-
-        def run(source):
-            for batch in source:
-                keep = []
-                for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
-                    x, y = np.frombuffer(x, "u8"), np.frombuffer(y, "u8")
-                    common = len(x) + len(y) - len(np.union1d(x, y))
-                    keep.append(100 * common >= percent * (len(x) + len(y) - common))
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-        return materialise(both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long"), "near_dedup")
+        return materialise(wanted.mapInArrow(run, "node long, shingles binary"), "near_dedup")
 
     def screened(self, edges: DataFrame, nodes: DataFrame) -> DataFrame:
         """Edges (a, b) that sizes and signatures do not rule out."""
@@ -191,68 +198,96 @@ class NearDedup:
 
         def run(source):
             for batch in source:
-                if not batch.num_rows:
-                    continue
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "u2").reshape(-1, bins) for c in ("sig_a", "sig_b"))
-                n = np.minimum(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= _screen(bins, percent / 100, n)))
+                if batch.num_rows:
+                    x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "u2").reshape(-1, bins) for c in ("sig_a", "sig_b"))
+                    near = may_link(x, y, batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), percent / 100) >= 0
+                    yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(near))
 
         return both.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
-    def missed(self, nodes: DataFrame, comps: DataFrame, tried: DataFrame) -> DataFrame:
-        """Promising pairs of different components that share a bucket and were not tried."""
+    def confirm(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose full sets reach the threshold."""
+        percent = self.percent
+        side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}"))
+        both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "set_a", "set_b")
+
+        def run(source):
+            for batch in source:
+                keep = [linked(np.frombuffer(x, "u8"), np.frombuffer(y, "u8"), percent) for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        return materialise(both.mapInArrow(run, "a long, b long"), "near_dedup")
+
+    def missed(self, nodes: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links between components that share a bucket (a, b): those that connect, not all of them."""
         bins, percent, cell = self.bands * self.rows, self.percent, self.cell
-        labelled = nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        labelled = materialise(nodes.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "n", "sig", "bands"), "near_dedup")
         members = labelled.select("node", "comp", F.explode("bands").alias("bucket"))
-        mixed = members.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
-        side = F.ceil(F.col("size") / F.lit(cell))
-        rows = members.join(mixed.select("bucket", side.alias("side")), "bucket")
-        # large buckets: square cells of about cell x cell members; small ones: one cell
-        mine = F.pmod(F.xxhash64("node"), F.col("side"))
-        rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("side") - 1)))
-        rows = rows.join(nodes.select("node", "n", "sig"), "node").select("bucket", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "node", "comp", "n", "sig")
-        dealt = rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "node")
+        mixed = members.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("node").alias("b")).where("low < high").select("bucket", "b")
+        clusters = components(members.join(mixed, "bucket").select(F.col("node").alias("a"), "b").distinct())
+        inside = clusters.select("node", F.col("comp").alias("cluster")).join(labelled.select("node", "comp", "n", "sig"), "node")
+        by_comp = inside.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("size"))
+        largest = by_comp.groupBy("cluster").agg(F.max_by("comp", "size").alias("main"), F.max("size").alias("main_size"), F.sum("size").alias("all_size"))
+        side = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(cell))).cast("long")
+        sized = largest.select("cluster", "main", side(F.col("all_size") - F.col("main_size")).alias("strays"), side(F.col("main_size")).alias("mains"))
+        # a cell holds a chunk of strays and one more chunk, of strays or of the largest component
+        up_to = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+        rows = inside.join(sized, "cluster").withColumn("stray", F.col("comp") != F.col("main"))
+        rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.when(F.col("stray"), F.col("strays")).otherwise(F.col("mains"))))
+        with_strays = F.transform(up_to(F.col("strays")), lambda j: F.struct(F.least("mine", j).alias("x"), F.greatest("mine", j).alias("y")))
+        with_mains = F.transform(up_to(F.col("mains")), lambda j: F.struct(F.col("mine").alias("x"), (-1 - j).alias("y")))
+        as_main = F.transform(up_to(F.col("strays")), lambda i: F.struct(i.alias("x"), (-1 - F.col("mine")).alias("y")))
+        rows = rows.withColumn("at", F.explode(F.when(F.col("stray"), F.concat(with_strays, with_mains)).otherwise(as_main)))
+        rows = rows.select("cluster", "at.x", "at.y", "stray", "node", "comp", "n", "sig").join(sets.select("node", "shingles"), "node")
+        dealt = rows.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "node")
+        names = ("cluster", "x", "y", "stray", "node", "comp", "n", "sig", "shingles")
 
         def run(source):
             held, key = [], None
 
             def leave():
-                node, comp, n, mine, sig = (np.array(c) for c in list(zip(*held, strict=True))[:4] + [[0]])
+                stray, node, comp, n = (np.array([r[k] for r in held]) for k in range(4))
                 sig = np.frombuffer(b"".join(r[4] for r in held), "u2").reshape(-1, bins)
-                labels, size = np.unique(comp, return_counts=True)
-                largest = labels[np.argmax(size)]
+                sets = [np.frombuffer(r[5], "u8") for r in held]
+                joined = {int(c): int(c) for c in comp}
+
+                def find(c):
+                    while joined[c] != c:
+                        joined[c] = c = joined[joined[c]]
+                    return c
+
                 a, b = [], []
-                for i in np.flatnonzero(comp != largest):
-                    other = (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
-                    if key[1] != key[2]:
-                        other &= mine != mine[i]
-                    j = np.flatnonzero(other)
-                    j = j[(sig[j] == sig[i]).mean(axis=1) >= _screen(bins, percent / 100, np.minimum(n[j], n[i]))]
-                    a += np.maximum(node[j], node[i]).tolist()
-                    b += np.minimum(node[j], node[i]).tolist()
+                for i in np.flatnonzero(stray):
+                    own = find(int(comp[i]))
+                    later = np.arange(len(n)) > i
+                    j = np.flatnonzero((later | ~stray) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & (comp != comp[i]))
+                    if not len(j):
+                        continue
+                    share = may_link(sig[j], sig[i], n[j], n[i], percent / 100)
+                    for k in j[np.argsort(-share, kind="stable")[: int((share >= 0).sum())]]:
+                        other = find(int(comp[k]))
+                        if other != own and linked(sets[i], sets[k], percent):
+                            joined[max(own, other)] = own = min(own, other)
+                            a.append(max(int(node[i]), int(node[k])))
+                            b.append(min(int(node[i]), int(node[k])))
                 return a, b
 
-            out: tuple[list, list] = ([], [])
-            for batch in source:
-                for r in zip(*(batch.column(c).to_pylist() for c in ("bucket", "x", "y", "node", "comp", "n", "mine", "sig")), strict=True):
-                    if r[:3] != key:
-                        if len(held) > 1:
-                            for own, new in zip(out, leave(), strict=True):
-                                own += new
-                        held, key = [], r[:3]
-                        if len(out[0]) > 20_000:
-                            yield _pairs(*out)
-                            out = ([], [])
-                    held.append(r[3:])
-            if len(held) > 1:
-                for own, new in zip(out, leave(), strict=True):
-                    own += new
-            yield _pairs(*out)
-
-        def _pairs(a, b):
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        return dealt.mapInArrow(run, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+            def all_cells():
+                nonlocal held, key
+                for batch in source:
+                    for r in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                        if r[:3] != key:
+                            if len(held) > 1:
+                                yield leave()
+                            held, key = [], r[:3]
+                        held.append(r[3:])
+                if len(held) > 1:
+                    yield leave()
+
+            for a, b in all_cells():
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        return materialise(dealt.mapInArrow(run, "a long, b long"), "near_dedup")
 
     def result(self) -> DataFrame:
         table = self.signatures()
@@ -260,13 +295,13 @@ class NearDedup:
         nodes = materialise(table.join(classes, "key").where("id = node").select("node", "n", "sig", "bands"), "near_dedup")
         members = nodes.select("node", F.explode("bands").alias("bucket"))
         stars = members.groupBy("bucket").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket", "b")
-        edges = members.join(stars, "bucket").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-        tried = materialise(self.screened(edges, nodes), "near_dedup")
-        found = self.confirm(tried)
+        edges = materialise(members.join(stars, "bucket").where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "near_dedup")
+        sets = self.sets_of(edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))))
+        found = self.confirm(self.screened(edges, nodes), sets)
         comps = components(found)
-        more = materialise(self.missed(nodes, comps, tried), "near_dedup")
+        more = self.missed(nodes, comps, sets)
         if not more.isEmpty():
-            comps = components(found.unionByName(self.confirm(more)))
+            comps = components(found.unionByName(more))
         named = table.select("id", "n", "key").join(classes.withColumnRenamed("node", "own"), "key", "left").join(comps.select(F.col("node").alias("own"), "comp"), "own", "left")
         return named.select("id", F.col("n").alias("n_shingles"), F.coalesce("comp", "own", "id").alias("component_id"))
 
