@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 *Terms* are words and the 5-character pieces of words (with marked ends).  Of a bounded sample of labelled
-documents the terms that go with the label are kept (``max_terms`` at most, by the z score of their log odds);
+documents the terms that go with the label are kept (``max_terms`` at most, by the log-likelihood ratio G2);
 an example is the TF-IDF vector of its kept terms.
 
 *Index*: the postings of a term are cut into blocks of examples, and each block knows its largest weight.  The
@@ -154,18 +154,18 @@ class ToxicityModel:
         return self.known[key]
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample_rows: int = 8000, max_terms: int = 3000, min_docs: int = 4, min_z: float = 4.0, k: int = 25) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample_rows: int = 8000, max_terms: int = 3000, min_docs: int = 4, min_g2: float = 25.0, min_lift: float = 4.0, k: int = 25) -> ToxicityModel:
     """Learn from at most ``sample_rows`` labelled documents, those whose ids have the smallest hashes.
 
     Rows with a null id or label are left out; of several labels for one id the largest counts; of rows that
-    repeat an id the smallest text is taken.  Without any labelled row the model knows the prior 0.5 only.
+    repeat an id the smallest text is taken, and equal texts with one label are one example.  Without any labelled row the model knows the prior 0.5 only.
     """
     ship(docs.sparkSession)
     slim = labels.select(labels["doc_id"].alias("id"), labels[label_col].cast("int").alias("label")).where("id IS NOT NULL AND label IS NOT NULL").groupBy("id").agg(F.max("label").alias("label"))
     chosen = slim.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     texts = docs.select(docs["doc_id"].alias("id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     # sample_rows bounds the broadcast
-    sample = materialise(texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text")).repartition(12, "id"), "toxicity")
+    sample = materialise(texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text")).groupBy("text", "label").agg(F.min("id").alias("id")).repartition(12, "id"), "toxicity")
 
     def term_counts(source):
         counts: dict[str, list[int]] = {}
@@ -192,10 +192,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", s
     n, positive = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("label") > 0).cast("long")), F.lit(0))).first()
     negative = n - positive
     per_term = sample.mapInArrow(term_counts, "term string, without long, with_it long").groupBy("term").agg(F.sum("without").alias("b"), F.sum("with_it").alias("a"))
-    a, b = F.col("a") + 0.5, F.col("b") + 0.5
-    rest_a, rest_b = F.lit(positive + 0.5) - F.col("a"), F.lit(negative + 0.5) - F.col("b")
-    z = (F.log(a) - F.log(rest_a) - F.log(b) + F.log(rest_b)) / F.sqrt(1 / a + 1 / rest_a + 1 / b + 1 / rest_b)
-    kept = per_term.where(F.col("a") >= min_docs).withColumn("z", z).where(F.col("z") >= min_z).orderBy(F.col("z").desc(), "term").limit(max_terms).collect()
+    cells = ((F.col("a"), positive, True), (F.col("b"), negative, True), (F.lit(positive) - F.col("a"), positive, False), (F.lit(negative) - F.col("b"), negative, False))
+    have = F.col("a") + F.col("b")
+
+    def part(seen, of, with_term):
+        expected = (have if with_term else F.lit(n) - have) * F.lit(of / max(n, 1))
+        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+
+    g2 = 2 * sum((part(*c) for c in cells), F.lit(0.0))
+    lift = F.col("a") * F.lit(float(negative)) >= F.lit(float(min_lift * positive)) * F.col("b")
+    kept = per_term.where((F.col("a") >= min_docs) & lift).withColumn("g2", g2).where(F.col("g2") >= min_g2).orderBy(F.col("g2").desc(), "term").limit(max_terms).collect()
     terms = sorted(r["term"] for r in kept)
     df_of = {r["term"]: r["a"] + r["b"] for r in kept}
     idf = np.array([math.log((n + 1) / (df_of[t] + 1)) + 1 for t in terms])
