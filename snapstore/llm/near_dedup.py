@@ -187,7 +187,8 @@ class NearDedup:
                 sets = [shingler.of(t).tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], ["node", "shingles"])
 
-        wanted = self.texts.join(ids.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
+        # a merge join at every size: the ids grow with the corpus, so a plan that broadcasts them can't last
+        wanted = self.texts.join(ids.select(F.col("node").alias("id")).distinct().hint("merge"), "id", "left_semi")
         return materialise(wanted.mapInArrow(run, "node long, shingles binary"), "near_dedup")
 
     def screened(self, edges: DataFrame, nodes: DataFrame) -> DataFrame:
