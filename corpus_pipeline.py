@@ -40,7 +40,7 @@ def cut_boilerplate(spark, docs, sf_dir):
 def drop_near_duplicates(spark, docs, sf_dir):
     """One document of each group of near-duplicates stays (five words, 0.8 or more)."""
     gone = near_dedup.near_dedup(docs, shingle_words=5, percent=80).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark, docs, sf_dir):

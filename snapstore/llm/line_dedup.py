@@ -61,7 +61,8 @@ def line_dedup(docs: DataFrame, min_sites: int = 5, min_words: int = 2, keep_fir
     cuts = hits.groupBy(F.col("id").alias("cut_id"), F.col("th").alias("cut_th")).agg(F.collect_set("pos").alias("cut"))
 
     keyed = docs.select(row, docs[id_col].alias("id"), text.alias("own_text"), F.xxhash64(text).alias("th"))
-    joined = keyed.join(cuts, F.col("id").eqNullSafe(F.col("cut_id")) & (F.col("th") == F.col("cut_th")), "left")
+    # a merge join at every size: the cuts grow with the corpus
+    joined = keyed.join(cuts.hint("merge"), F.col("id").eqNullSafe(F.col("cut_id")) & (F.col("th") == F.col("cut_th")), "left")
     # the lines are split once a row, and the places kept are found by one hash set
     lined = joined.withColumn("lines", split(F.col("own_text")))
     places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("cut"))
