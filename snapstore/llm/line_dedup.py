@@ -47,17 +47,20 @@ def line_dedup(docs: DataFrame, min_sites: int = 5, min_words: int = 2, keep_fir
     shared = materialise(lines.join(spread, ["k1", "k2"], "left_semi"), "line_dedup")
 
     band = max(2, math.ceil(4 * 1.04 / math.sqrt(2**lg_k) * min_sites))
-    sketched = shared.groupBy("k1", "k2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("sites"))
+    # one aggregation that combines before the shuffle: the sketch, and the first occurrence
+    occurrence = F.struct(F.col("id").isNull().alias("last"), "id", "th", "pos")
+    sketched = shared.groupBy("k1", "k2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("sites"), F.min(occurrence).alias("f"))
     sketched = materialise(sketched, "line_dedup")
-    clear = sketched.where(F.col("sites") > min_sites + band).select("k1", "k2")
-    near = sketched.where(F.col("sites").between(min_sites - band, min_sites + band)).select("k1", "k2")
-    exact = shared.join(near, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.countDistinct("site").alias("sites")).where(F.col("sites") >= min_sites).select("k1", "k2")
+    clear = sketched.where(F.col("sites") > min_sites + band).select("k1", "k2", "f")
+    near = sketched.where(F.col("sites").between(min_sites - band, min_sites + band)).select("k1", "k2", "f")
+    # distinct (line, site) pairs first, so a line's occurrences never meet in one task
+    pairs = shared.where(F.col("site").isNotNull()).select("k1", "k2", "site").distinct().join(near, ["k1", "k2"])
+    exact = pairs.groupBy("k1", "k2", "f").agg(F.count(F.lit(1)).alias("sites")).where(F.col("sites") >= min_sites).select("k1", "k2", "f")
     boilerplate = clear.unionByName(exact)
 
-    hits = shared.join(boilerplate, ["k1", "k2"], "left_semi").select("k1", "k2", "id", "th", "pos")
+    hits = shared.join(boilerplate, ["k1", "k2"]).select("id", "th", "pos", "f")
     if keep_first:
-        first = hits.groupBy("k1", "k2").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "th", "pos")).alias("f"))
-        hits = hits.join(first, ["k1", "k2"]).where(~(F.col("id").eqNullSafe(F.col("f.id")) & (F.col("th") == F.col("f.th")) & (F.col("pos") == F.col("f.pos"))))
+        hits = hits.where(~(F.col("id").eqNullSafe(F.col("f.id")) & (F.col("th") == F.col("f.th")) & (F.col("pos") == F.col("f.pos"))))
     cuts = hits.groupBy(F.col("id").alias("cut_id"), F.col("th").alias("cut_th")).agg(F.collect_set("pos").alias("cut"))
 
     keyed = docs.select(row, docs[id_col].alias("id"), text.alias("own_text"), F.xxhash64(text).alias("th"))
