@@ -69,7 +69,7 @@ class UnitMemo:
     after their call, and after many such calls it starts anew, in case the texts have changed.
     """
 
-    def __init__(self, path: str, limit: int = 350_000):
+    def __init__(self, path: str, limit: int = 280_000):
         self.tokenizer = load_tokenizer(path)
         self.specials = special_strings(self.tokenizer)
         self.limit, self.memo, self.overflows = limit, {}, 0

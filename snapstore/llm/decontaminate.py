@@ -44,7 +44,7 @@ def _hash(text: str) -> int:
 class Templates:
     """Template words of whole texts, with a bounded memo of white-space tokens."""
 
-    def __init__(self, limit: int = 800_000):
+    def __init__(self, limit: int = 250_000):
         self.limit, self.memo = limit, {}
         self.kinds = np.array([0, *(_hash(f"\x00{k}") for k in ("<num>", "<unit>", "<name>"))], dtype="u8")
 

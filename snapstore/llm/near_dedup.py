@@ -40,7 +40,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted distinct 64-bit hashes of a text's word shingles."""
 
-    def __init__(self, words: int, limit: int = 1_500_000):
+    def __init__(self, words: int, limit: int = 300_000):
         import xxhash
 
         self.words, self.limit, self.memo, self.hash = words, limit, {}, xxhash.xxh3_64_intdigest

@@ -122,7 +122,7 @@ class ToxicityModel:
         """Kept terms of a whole text and how often they occur."""
         found: dict[int, int] = {}
         memo = self.memo
-        if len(memo) > 800_000:
+        if len(memo) > 150_000:
             memo.clear()
         for token, n in Counter((text or "").split()).items():
             hit = memo.get(token)
@@ -146,7 +146,7 @@ class ToxicityModel:
         tf = self.counts(text)
         key = tuple(sorted(tf.items()))
         if key not in self.known:
-            if len(self.known) > 50_000:
+            if len(self.known) > 20_000:
                 self.known.clear()
             nearest = self.index.nearest(self.weigh(tf), self.k)
             p = float(np.interp(self.vote(nearest), *self.knots))
