@@ -3,9 +3,9 @@
 A text becomes a *template*: numbers, units after numbers, and names (capitalised words inside a sentence) are
 replaced with typed placeholders; other words are lower-cased and stripped of marks at their ends.  Windows of
 template words of all benchmark items are a hash table; the windows of every document are looked up in it.  Hits of
-one item that lie close together are aligned, and each placeholder position gives a pair (benchmark value, document
-value).  A re-parameterised question maps each value to one value and back; if the pairs do not, the hits are no
-copy.  A document is contaminated by an item when the aligned hits cover enough of the item's template.
+one item that lie close together are aligned by their offset, the longest line first, and each placeholder position
+gives a pair (benchmark value, document value).  A re-parameterised question maps each value to one value and back; if
+the pairs along a line do not, the line is no copy.  A document is contaminated by an item when the aligned hits cover enough of the item's template.
 
 The benchmark is the stated query set: it is taken in blocks of at most ``block_windows`` windows, and each block
 is held against all documents in one pass without a shuffle, so no key of the documents can be hot.
@@ -170,25 +170,48 @@ class TemplateIndex:
                     counts[q] -= 1
                     covered -= counts[q] == 0
                 start += 1
+            if end + 1 < len(found) and found[end + 1][0] == d:
+                continue
             if covered >= need and (best is None or covered > best[0]):
-                slots, consistent = self._slots(found[start : end + 1], item_kinds, item_values, values)
-                if consistent:
-                    best = (covered, found[start][0], d + w, slots)
+                aligned = self._align(found[start : end + 1], need, item_kinds, item_values, values)
+                if aligned and (best is None or aligned[0] > best[0]):
+                    best = aligned
         return best and (item_id, best[0] / n, best[1], best[2], best[3], True)
 
     @staticmethod
-    def _slots(found, item_kinds, item_values, values) -> tuple[int, bool]:
-        """How many slots the hits cover, and whether their values map to each other one to one."""
-        forth, back, seen = {}, {}, {}
+    def _align(found, need, item_kinds, item_values, values) -> tuple | None:
+        """Covered words, first and last word, slots of the best alignment whose values map to each other one to one.
+
+        Hits of one offset (document place - item place) are one line.  The longest line decides the values of its
+        item places; other lines add places that are free, unless their values contradict, so a repeat inside the
+        item can't veto a copy.  If the longest line contradicts itself, others that are long enough alone are tried.
+        """
+        lines: dict[int, set[int]] = {}
         for d, p, w in found:
-            for k in range(w):
-                kind = int(item_kinds[p + k])
-                if kind and (p + k) not in seen:
-                    seen[p + k] = d + k
-                    a, b = (kind, item_values[p + k]), (kind, values[d + k])
-                    if forth.setdefault(a, b) != b or back.setdefault(b, a) != a:
-                        return len(seen), False
-        return len(seen), True
+            lines.setdefault(d - p, set()).update(range(p, p + w))
+        order = sorted(lines, key=lambda o: (-len(lines[o]), -o))
+        for first in order:
+            if first != order[0] and len(lines[first]) < need:
+                break
+            forth, back, held = {}, {}, {}
+            for offset in (first, *(o for o in order if o != first)):
+                new_forth, new_back = {}, {}
+                free = [p for p in lines[offset] if p not in held]
+                for p in free:
+                    if kind := int(item_kinds[p]):
+                        a, b = (kind, item_values[p]), (kind, values[p + offset])
+                        if forth.get(a, b) != b or back.get(b, a) != a or new_forth.setdefault(a, b) != b or new_back.setdefault(b, a) != a:
+                            break
+                else:
+                    forth |= new_forth
+                    back |= new_back
+                    held.update((p, p + offset) for p in free)
+                    continue
+                if offset == first:
+                    break
+            if len(held) >= need:
+                return len(held), min(held.values()), max(held.values()) + 1, sum(int(item_kinds[p]) > 0 for p in held)
+        return None
 
 
 FIELDS = "contaminated boolean, n_items long, item_ids array<long>, coverage double, slots long, matches array<struct<item_id long, coverage double, first_word long, last_word long, slots long>>"

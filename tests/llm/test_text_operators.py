@@ -191,3 +191,19 @@ def test_windows_equal_brute_force():
     assert values[1] == "5" and values[4] == "paris" and values[9] == "30"
     w = decontaminate.windows(h, 3)
     assert len(w) == len(h) - 2 and len({tuple(h[k : k + 3]) for k in range(len(w))}) == len(set(w.tolist()))
+
+
+REPEATS = "A shop sells 3 boxes of pens for 4 dollars and 5 boxes of pens for 6 dollars each day. How much does it earn?"
+
+
+def found_in(item, text):
+    templates = decontaminate.Templates()
+    return decontaminate.TemplateIndex([(1, item)], 5, 0.6, 10).matches(*templates.of(text))
+
+
+def test_repeats_inside_an_item_do_not_veto_a_copy():
+    [m] = found_in(REPEATS, REPEATS)
+    assert m[1] == 1 and (m[2], m[3]) == (0, 25)
+    other = REPEATS.replace("3", "13").replace("4", "14").replace("5", "15").replace("6", "16")
+    assert found_in(REPEATS, f"some words {other} and {REPEATS[:60]}")[0][1] > 0.9
+    assert not found_in(REPEATS, REPEATS.replace("5", "3").replace("6", "4"))
