@@ -1,7 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
 A text becomes a *template*: numbers, units after numbers, and names (capitalised words inside a sentence) are
-replaced with typed placeholders; other words are lower-cased and stripped of marks at their ends.  Windows of
+replaced with typed placeholders; other words are lower-cased and stripped of marks at their ends.  A capitalised word
+that begins a sentence may be a name or not: windows over it are taken in both readings.  Windows of
 template words of all benchmark items are a hash table; the windows of every document are looked up in it.  Hits of
 one item that lie close together are aligned by their offset, the longest line first, and each placeholder position
 gives a pair (benchmark value, document value).  A re-parameterised question maps each value to one value and back; if
@@ -74,6 +75,10 @@ class Templates:
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """Hashes of the template words, their kinds, their values."""
+        return self.readings(text)[:3]
+
+    def readings(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+        """The same, and which words may be names too: capitalised ones that begin a sentence."""
         memo = self.memo
         if len(memo) > self.limit:
             memo.clear()
@@ -84,7 +89,7 @@ class Templates:
                 e = memo[token] = self._token(token)
             entries += e
         if not entries:
-            return np.zeros(0, "u8"), np.zeros(0, "i1"), []
+            return np.zeros(0, "u8"), np.zeros(0, "i1"), [], np.zeros(0, bool)
         hashes, kinds, ends, values = zip(*entries, strict=True)
         h, k, end = np.array(hashes, dtype="u8"), np.array(kinds, dtype="i1"), np.array(ends, dtype="i1")
         real = k >= 0
@@ -93,7 +98,7 @@ class Templates:
             end[before[before >= 0]] = 1
             h, k, end, values = h[real], k[real], end[real], [v for v, r in zip(values, real, strict=True) if r]
             if not len(h):
-                return h, k, []
+                return h, k, [], real[:0]
         k = k.copy()
         after = np.zeros(len(k), bool)
         after[1:] = k[:-1] == NUM
@@ -102,20 +107,44 @@ class Templates:
         k[money] = UNIT
         start = np.ones(len(k), bool)
         start[1:] = end[:-1] == 1
-        k[(k == NAME) & start] = WORD
-        return np.where(k == WORD, h, self.kinds[k]), k, list(values)
+        either = (k == NAME) & start
+        k[either] = WORD
+        return np.where(k == WORD, h, self.kinds[k]), k, list(values), either
 
 
-def windows(h: np.ndarray, w: int) -> np.ndarray:
-    """Hashes of all windows of ``w`` template words."""
+def _sums(h: np.ndarray, w: int) -> np.ndarray:
     n = len(h) - w + 1
     if n <= 0:
         return np.zeros(0, "u8")
     out = np.zeros(n, "u8")
     for j in range(w):
         out = out * np.uint64(_BASE) + h[j : j + n]
-    out ^= out >> np.uint64(29)
-    return out * np.uint64(0xBF58476D1CE4E5B9)
+    return out
+
+
+def _mixed(sums: np.ndarray) -> np.ndarray:
+    return (sums ^ sums >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def windows(h: np.ndarray, w: int) -> np.ndarray:
+    """Hashes of all windows of ``w`` template words."""
+    return _mixed(_sums(h, w))
+
+
+def both_readings(h: np.ndarray, either: np.ndarray, name: np.uint64, w: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes and places of all windows in each reading of the words that may be names; the first n read none so."""
+    sums = _sums(h, w)
+    n = len(sums)
+    place = np.arange(n)
+    if n and either.any():
+        change = name - h
+        for j in range(w):
+            at = np.flatnonzero(either[place + j])
+            if len(at):
+                first = place[at]
+                sums = np.concatenate([sums, sums[at] + change[first + j] * np.uint64(pow(_BASE, w - 1 - j, 1 << 64))])
+                place = np.concatenate([place, first])
+    return _mixed(sums), place, n
 
 
 class TemplateIndex:
@@ -124,44 +153,47 @@ class TemplateIndex:
     def __init__(self, items: list[tuple[int, str]], window: int, coverage: float, min_words: int):
         templates = Templates()
         self.window, self.coverage, self.min_words, self.items = window, coverage, min_words, []
-        by_length: dict[int, list[tuple[np.ndarray, int]]] = {}
+        self.name = templates.kinds[NAME]
+        by_length: dict[int, list[tuple[np.ndarray, np.ndarray, int]]] = {}
         for item_id, text in items:
-            h, k, values = templates.of(text)
+            h, k, values, either = templates.readings(text)
             if len(h):
-                by_length.setdefault(min(window, len(h)), []).append((h, len(self.items)))
+                by_length.setdefault(min(window, len(h)), []).append((h, either, len(self.items)))
                 self.items.append((item_id, k, values))
         self.tables = []
         for w, found in sorted(by_length.items()):
-            hashes = np.concatenate([windows(h, w) for h, _ in found])
-            item = np.concatenate([np.full(len(h) - w + 1, i, dtype="i8") for h, i in found])
-            place = np.concatenate([np.arange(len(h) - w + 1, dtype="i8") for h, _ in found])
+            read = [(*both_readings(h, either, self.name, w), i) for h, either, i in found]
+            hashes = np.concatenate([own for own, _, _, _ in read])
+            item = np.concatenate([np.full(len(own), i, dtype="i8") for own, _, _, i in read])
+            place = np.concatenate([p for _, p, _, _ in read])
+            other = np.concatenate([np.arange(len(own)) >= n for own, _, n, _ in read])
             order = np.argsort(hashes, kind="stable")
             bits = np.zeros(1 << 22, bool)
             bits[hashes >> np.uint64(42)] = True
-            self.tables.append((w, hashes[order], item[order], place[order], bits))
+            self.tables.append((w, hashes[order], item[order], place[order], other[order], bits))
 
-    def matches(self, h: np.ndarray, kinds: np.ndarray, values: list[str]) -> list[tuple]:
+    def matches(self, h: np.ndarray, kinds: np.ndarray, values: list[str], either: np.ndarray) -> list[tuple]:
         """(item id, coverage, first word, last word, slots, consistent) of each item that the text contains."""
-        hits: dict[int, list[tuple[int, int, int]]] = {}
-        for w, hashes, item, place, bits in self.tables:
-            own = windows(h, w)
+        hits: dict[int, list[tuple[int, int, int, bool]]] = {}
+        for w, hashes, item, place, other, bits in self.tables:
+            own, own_place, n = both_readings(h, either, self.name, w)
             at = np.flatnonzero(bits[own >> np.uint64(42)])
             if not len(at):
                 continue
             low, high = np.searchsorted(hashes, own[at], "left"), np.searchsorted(hashes, own[at], "right")
             for k in np.flatnonzero(high > low):
                 for j in range(low[k], high[k]):
-                    hits.setdefault(int(item[j]), []).append((int(at[k]), int(place[j]), w))
+                    hits.setdefault(int(item[j]), []).append((int(own_place[at[k]]), int(place[j]), w, bool(other[j] or at[k] >= n)))
         return [m for i, found in sorted(hits.items()) if (m := self._verify(i, found, kinds, values))]
 
-    def _verify(self, i: int, found: list[tuple[int, int, int]], kinds: np.ndarray, values: list[str]) -> tuple | None:
+    def _verify(self, i: int, found: list[tuple[int, int, int, bool]], kinds: np.ndarray, values: list[str]) -> tuple | None:
         item_id, item_kinds, item_values = self.items[i]
         n = len(item_values)
         need = max(min(n, self.min_words), self.coverage * n)
         found.sort()
         start, best = 0, None
         span, counts, covered = n + n // 2 + self.window, {}, 0
-        for end, (d, p, w) in enumerate(found):  # hits inside a span of the document
+        for end, (d, p, w, _) in enumerate(found):  # hits inside a span of the document
             for q in range(p, p + w):
                 counts[q] = counts.get(q, 0) + 1
                 covered += counts[q] == 1
@@ -173,44 +205,59 @@ class TemplateIndex:
             if end + 1 < len(found) and found[end + 1][0] == d:
                 continue
             if covered >= need and (best is None or covered > best[0]):
-                aligned = self._align(found[start : end + 1], need, item_kinds, item_values, values)
+                aligned = self._align(found[start : end + 1], need, item_kinds, item_values, kinds, values)
                 if aligned and (best is None or aligned[0] > best[0]):
                     best = aligned
         return best and (item_id, best[0] / n, best[1], best[2], best[3], True)
 
     @staticmethod
-    def _align(found, need, item_kinds, item_values, values) -> tuple | None:
+    def _align(found, need, item_kinds, item_values, kinds, values) -> tuple | None:
         """Covered words, first and last word, slots of the best alignment whose values map to each other one to one.
 
         Hits of one offset (document place - item place) are one line.  The longest line decides the values of its
         item places; other lines add places that are free, unless their values contradict, so a repeat inside the
         item can't veto a copy.  If the longest line contradicts itself, others that are long enough alone are tried.
+        A hit that reads the beginning of a sentence as a name is left out where only that name contradicts; if
+        no alignment is found with such hits, they are all left out.
         """
-        lines: dict[int, set[int]] = {}
-        for d, p, w in found:
-            lines.setdefault(d - p, set()).update(range(p, p + w))
-        order = sorted(lines, key=lambda o: (-len(lines[o]), -o))
-        for first in order:
-            if first != order[0] and len(lines[first]) < need:
-                break
-            forth, back, held = {}, {}, {}
-            for offset in (first, *(o for o in order if o != first)):
-                new_forth, new_back = {}, {}
-                free = [p for p in lines[offset] if p not in held]
-                for p in free:
-                    if kind := int(item_kinds[p]):
-                        a, b = (kind, item_values[p]), (kind, values[p + offset])
-                        if forth.get(a, b) != b or back.get(b, a) != a or new_forth.setdefault(a, b) != b or new_back.setdefault(b, a) != a:
-                            break
-                else:
-                    forth |= new_forth
-                    back |= new_back
-                    held.update((p, p + offset) for p in free)
-                    continue
-                if offset == first:
+        lines: dict[int, tuple[set[int], set[int], list[range]]] = {}
+        for d, p, w, other in found:
+            everything, plain, named = lines.setdefault(d - p, (set(), set(), []))
+            everything.update(range(p, p + w))
+            if other:
+                named.append(range(p, p + w))
+            else:
+                plain.update(range(p, p + w))
+        for use_named in (True, False) if any(named for _, _, named in lines.values()) else (False,):
+            own = {o: everything if use_named else plain for o, (everything, plain, _) in lines.items()}
+            order = sorted(lines, key=lambda o: (-len(own[o]), -o))
+            for first in order:
+                if first != order[0] and len(own[first]) < need:
                     break
-            if len(held) >= need:
-                return len(held), min(held.values()), max(held.values()) + 1, sum(int(item_kinds[p]) > 0 for p in held)
+                forth, back, held = {}, {}, {}
+
+                def take(places, offset, forth=forth, back=back, held=held) -> int:
+                    """0: taken; 1: the name at the beginning of a sentence contradicts; 2: another value does."""
+                    new_forth, new_back, free = {}, {}, [p for p in places if p not in held]
+                    for p in free:
+                        kind, a, b = int(item_kinds[p]), item_values[p], values[p + offset]
+                        if kind or a != b:
+                            a, b = (kind or NAME, a), (kind or NAME, b)
+                            if forth.get(a, b) != b or back.get(b, a) != a or new_forth.setdefault(a, b) != b or new_back.setdefault(b, a) != a:
+                                return 2 if kind and kinds[p + offset] else 1
+                    forth.update(new_forth)
+                    back.update(new_back)
+                    held.update((p, p + offset) for p in free)
+                    return 0
+
+                for offset in (first, *(o for o in order if o != first)):
+                    _, plain, named = lines[offset]
+                    whole = not take(sorted(plain), offset) and (not use_named or all([take(places, offset) < 2 for places in named]))
+                    if offset == first and not whole:
+                        break
+                else:
+                    if len(held) >= need:
+                        return len(held), min(held.values()), max(held.values()) + 1, sum(bool(item_kinds[p]) or item_values[p] != values[q] for p, q in held.items())
         return None
 
 
@@ -238,7 +285,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 5, covera
             own, found = Templates(), shared.value
 
             def decide(_, texts):
-                return zip(*(_fields(found.matches(*own.of(t))) for t in texts), strict=True)
+                return zip(*(_fields(found.matches(*own.readings(t))) for t in texts), strict=True)
 
             return decide
 

@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -198,7 +199,7 @@ REPEATS = "A shop sells 3 boxes of pens for 4 dollars and 5 boxes of pens for 6
 
 def found_in(item, text):
     templates = decontaminate.Templates()
-    return decontaminate.TemplateIndex([(1, item)], 5, 0.6, 10).matches(*templates.of(text))
+    return decontaminate.TemplateIndex([(1, item)], 5, 0.6, 10).matches(*templates.readings(text))
 
 
 def test_repeats_inside_an_item_do_not_veto_a_copy():
@@ -207,3 +208,34 @@ def test_repeats_inside_an_item_do_not_veto_a_copy():
     other = REPEATS.replace("3", "13").replace("4", "14").replace("5", "15").replace("6", "16")
     assert found_in(REPEATS, f"some words {other} and {REPEATS[:60]}")[0][1] > 0.9
     assert not found_in(REPEATS, REPEATS.replace("5", "3").replace("6", "4"))
+
+
+PEARS = "Tom has 5 apples. Ann has 7 pears. Tom gives Ann 2 apples. Ann eats 3 pears. How many apples does Tom have now?"
+
+
+def test_names_that_begin_sentences():
+    def changed(**to):
+        return " ".join(to.get(x, x) for x in PEARS.split())
+
+    [m] = found_in(PEARS, changed(Tom="Bob", Ann="Eve", **{"5": "15", "7": "17", "2": "12", "3": "13"}))
+    assert m[1] == 1 and (m[2], m[3]) == (0, 24)
+    assert found_in(PEARS, PEARS)[0][1] == 1
+    assert found_in(PEARS, f"we know that {PEARS}")[0][1] == 1
+    assert not found_in(PEARS, changed(Tom="Bob", Ann="Bob", **{"5": "1", "7": "1", "2": "1", "3": "1"}))
+    reworded = REPEATS.replace("A shop", "One shop").replace("How much", "One asks how much")  # beginnings that contradict cost their windows only
+    assert found_in(REPEATS, reworded)
+
+
+def test_both_readings_equal_brute_force():
+    rng = random.Random(5)
+    for w in (2, 5):
+        h = np.array([rng.getrandbits(64) for _ in range(12)], dtype="u8")
+        either = np.array([rng.random() < 0.4 for _ in range(12)])
+        name = np.uint64(77)
+        plain = []
+        for mask in itertools.product((False, True), repeat=12):
+            if not any(m and not e for m, e in zip(mask, either, strict=True)):
+                plain += enumerate(decontaminate.windows(np.where(mask, name, h), w).tolist())
+        own, place, n = decontaminate.both_readings(h, either, name, w)
+        assert sorted(set(plain)) == sorted(zip(place.tolist(), own.tolist(), strict=True))
+        assert own[:n].tolist() == decontaminate.windows(h, w).tolist()
