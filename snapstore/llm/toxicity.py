@@ -83,13 +83,14 @@ class BlockMaxIndex:
         return [(-s, e) for s, e in best]
 
 
-def isotonic(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+def isotonic(x: np.ndarray, y: np.ndarray, prior: float, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators with one prior vote a pool: increasing knots (votes, probability)."""
+    weight = np.ones(len(x)) if weight is None else weight
     pools: list[list[float]] = []
     order = np.argsort(x, kind="stable")
     for value in np.unique(x[order]):
         at = x == value
-        pools.append([value, value, float(y[at].sum()), int(at.sum())])
+        pools.append([value, value, float((y * weight)[at].sum()), float(weight[at].sum())])
         while len(pools) > 1 and pools[-2][2] / pools[-2][3] >= pools[-1][2] / pools[-1][3]:
             last = pools.pop()
             pools[-1] = [pools[-1][0], last[1], pools[-1][2] + last[2], pools[-1][3] + last[3]]
@@ -104,9 +105,10 @@ def isotonic(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[np.ndarray, np
 class ToxicityModel:
     """Kept terms, the index, labels of its examples, and the calibration."""
 
-    def __init__(self, terms: list[str], idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]], prior: float, k: int, block: int = 64):
+    def __init__(self, terms: list[str], idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]], prior: float, k: int, block: int = 64, weights: tuple[float, float] = (1.0, 1.0)):
         self.term_ids, self.idf, self.prior, self.k = {t: i for i, t in enumerate(terms)}, idf, prior, k
         self.labels = [y for _, y, _ in examples]
+        self.weights = weights
         self.ids = [d for d, _, _ in examples]
         self.memo: dict[str, tuple[int, ...]] = {}
         self.known: dict[tuple, tuple[float, list[tuple[float, int]]]] = {}
@@ -114,7 +116,7 @@ class ToxicityModel:
         self.index = BlockMaxIndex(vectors, len(terms), block)
         if examples:
             votes = np.array([self.vote(self.index.nearest(v, k, without=e)) for e, v in enumerate(vectors)])
-            self.knots = isotonic(votes, np.array(self.labels, dtype=float), prior)
+            self.knots = isotonic(votes, np.array(self.labels, dtype=float), prior, np.array(weights)[self.labels])
         else:
             self.knots = (np.array([0.0]), np.array([prior]))
 
@@ -138,8 +140,8 @@ class ToxicityModel:
         return {t: float(w / norm) for t, w in v.items()}
 
     def vote(self, nearest: list[tuple[float, int]], prior_votes: float = 0.5) -> float:
-        for_it = sum(s for s, e in nearest if self.labels[e])
-        return (for_it + prior_votes * self.prior) / (sum(s for s, _ in nearest) + prior_votes)
+        votes = [(s * self.weights[self.labels[e]], self.labels[e]) for s, e in nearest]
+        return (sum(s for s, y in votes if y) + prior_votes * self.prior) / (sum(s for s, _ in votes) + prior_votes)
 
     def score(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
         """Probability of the label, and (cosine, id) of the neighbours."""
@@ -155,14 +157,23 @@ class ToxicityModel:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample_rows: int = 8000, max_terms: int = 3000, min_docs: int = 4, min_g2: float = 25.0, min_lift: float = 4.0, k: int = 25) -> ToxicityModel:
-    """Learn from at most ``sample_rows`` labelled documents, those whose ids have the smallest hashes.
+    """Learn from at most ``sample_rows`` labelled documents, those of each class whose ids have the smallest hashes.
+
+    If not all rows fit, rows with the label come first: all of them up to a quarter of the sample, or up to their own
+    share where that is larger.  Votes, prior and calibration weigh each class back to its share of all rows.  Kept are
+    terms in ``min_docs`` rows with the label, ``min_lift`` times as frequent there, with a G2 of ``min_g2``; where rows
+    with the label are few, in half of them, and with a quarter of the largest possible G2.
 
     Rows with a null id or label are left out; of several labels for one id the largest counts; of rows that
     repeat an id the smallest text is taken, and equal texts with one label are one example.  Without any labelled row the model knows the prior 0.5 only.
     """
     ship(docs.sparkSession)
     slim = labels.select(labels["doc_id"].alias("id"), labels[label_col].cast("int").alias("label")).where("id IS NOT NULL AND label IS NOT NULL").groupBy("id").agg(F.max("label").alias("label"))
-    chosen = slim.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
+    total, total_with = slim.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("label") > 0).cast("long")), F.lit(0))).first()
+    take_with = total_with if total <= sample_rows else min(total_with, max(sample_rows // 4, round(sample_rows * total_with / total)))
+    take_without = min(total - total_with, sample_rows - take_with)
+    of_class = lambda c, m: slim.where(c).orderBy(F.xxhash64("id"), "id").limit(m)
+    chosen = of_class("label > 0", take_with).unionAll(of_class("label <= 0", take_without))
     texts = docs.select(docs["doc_id"].alias("id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     # sample_rows bounds the broadcast
     sample = materialise(texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text")).groupBy("text", "label").agg(F.min("id").alias("id")).repartition(12, "id"), "toxicity")
@@ -191,6 +202,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", s
 
     n, positive = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("label") > 0).cast("long")), F.lit(0))).first()
     negative = n - positive
+    each = (total - total_with) / max(take_without, 1), total_with / max(take_with, 1)  # rows that one of the sample stands for
+    mean = (each[0] * negative + each[1] * positive) / max(n, 1) or 1.0
+    weights = each[0] / mean, each[1] / mean
+    few_docs = min(min_docs, max(1, -(-positive // 2)))
+    few_g2 = min(min_g2, sum(2 * c * math.log(n / c) for c in (positive, negative) if c) / 4)
     per_term = sample.mapInArrow(term_counts, "term string, without long, with_it long").groupBy("term").agg(F.sum("without").alias("b"), F.sum("with_it").alias("a"))
     cells = ((F.col("a"), positive, True), (F.col("b"), negative, True), (F.lit(positive) - F.col("a"), positive, False), (F.lit(negative) - F.col("b"), negative, False))
     have = F.col("a") + F.col("b")
@@ -201,7 +217,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", s
 
     g2 = 2 * sum((part(*c) for c in cells), F.lit(0.0))
     lift = F.col("a") * F.lit(float(negative)) >= F.lit(float(min_lift * positive)) * F.col("b")
-    kept = per_term.where((F.col("a") >= min_docs) & lift).withColumn("g2", g2).where(F.col("g2") >= min_g2).orderBy(F.col("g2").desc(), "term").limit(max_terms).collect()
+    kept = per_term.where((F.col("a") >= few_docs) & lift).withColumn("g2", g2).where(F.col("g2") >= few_g2).orderBy(F.col("g2").desc(), "term").limit(max_terms).collect()
     terms = sorted(r["term"] for r in kept)
     df_of = {r["term"]: r["a"] + r["b"] for r in kept}
     idf = np.array([math.log((n + 1) / (df_of[t] + 1)) + 1 for t in terms])
@@ -226,8 +242,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", s
     kind = sample.schema["id"].dataType.simpleString()
     found = sorted(sample.mapInArrow(vectors, f"id {kind}, label int, t array<int>, c array<int>").collect(), key=lambda r: r["id"])
     examples = [(r["id"], int(r["label"] > 0), dict(zip(r["t"], r["c"], strict=True))) for r in found]
-    prior = (positive + 0.5) / (n + 1)
-    return ToxicityModel(terms, idf, examples, prior, k)
+    prior = (weights[1] * positive + 0.5) / (n + 1)
+    return ToxicityModel(terms, idf, examples, prior, k, weights=weights)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:

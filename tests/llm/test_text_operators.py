@@ -239,3 +239,21 @@ def test_both_readings_equal_brute_force():
         own, place, n = decontaminate.both_readings(h, either, name, w)
         assert sorted(set(plain)) == sorted(zip(place.tolist(), own.tolist(), strict=True))
         assert own[:n].tolist() == decontaminate.windows(h, w).tolist()
+
+
+def test_toxicity_learns_from_few_rows_with_the_label(spark):
+    rng = random.Random(4)
+    rows = [(k, " ".join([f"word{rng.randrange(200)}" for _ in range(40)] + ["scum"] * (k < 6))) for k in range(52)]
+    marks = spark.createDataFrame([(k, 1, int(k < 6)) for k, _ in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.fit_toxicity(frame(spark, rows), marks)
+    assert "scum" in model.term_ids and model.score("you scum of word1")[0] > model.score("you word1")[0]
+
+
+def test_toxicity_samples_a_rare_label_first(spark):
+    rows, _ = toxic_rows(400)
+    rows = [(k, t if k % 7 else t.replace("nasty", "plain")) for k, t in rows] + [(1000 + k, f"scum word{k} word{k + 1}") for k in range(6)]
+    marks = spark.createDataFrame([(k, 1, int(k >= 1000)) for k, _ in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.fit_toxicity(frame(spark, rows), marks, sample_rows=60)
+    assert len(model.labels) == 60 and sum(model.labels) == 6 and "scum" in model.term_ids
+    assert sum(model.weights[y] for y in model.labels) == pytest.approx(60)
+    assert model.weights[0] / model.weights[1] == pytest.approx(400 / 54)
