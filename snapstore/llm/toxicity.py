@@ -38,7 +38,11 @@ def terms_of(token: str) -> tuple[str, ...]:
     if not word:
         return ()
     whole = f"^{word}$"
-    return (word, *dict.fromkeys(whole[k : k + 5] for k in range(len(whole) - 4))) if len(word) <= 64 else (word[:64],)
+    return (word, *dict.fromkeys(whole[k : k + 5] for k in range(len(whole) - 4)))
+
+
+#: Longer tokens are not kept in memos.
+MEMO_CHARS = 64
 
 
 class BlockMaxIndex:
@@ -129,7 +133,9 @@ class ToxicityModel:
         for token, n in Counter((text or "").split()).items():
             hit = memo.get(token)
             if hit is None:
-                hit = memo[token] = tuple(self.term_ids[t] for t in terms_of(token) if t in self.term_ids)
+                hit = tuple(self.term_ids[t] for t in terms_of(token) if t in self.term_ids)
+                if len(token) <= MEMO_CHARS:
+                    memo[token] = hit
             for t in hit:
                 found[t] = found.get(t, 0) + n
         return found
@@ -185,9 +191,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", s
             for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 seen: set[str] = set()
                 for token in set(text.split()):
-                    if token not in memo:
-                        memo[token] = terms_of(token)
-                    seen.update(memo[token])
+                    hit = memo.get(token)
+                    if hit is None:
+                        hit = terms_of(token)
+                        if len(token) <= MEMO_CHARS:
+                            memo[token] = hit
+                    seen.update(hit)
                 for t in seen:
                     counts.setdefault(t, [0, 0])[1 if label else 0] += 1
             if len(counts) > 500_000:
@@ -230,9 +239,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", s
             for text in batch.column("text").to_pylist():
                 tf: dict[int, int] = {}
                 for token, c in Counter(text.split()).items():
-                    if token not in memo:
-                        memo[token] = tuple(term_ids[t] for t in terms_of(token) if t in term_ids)
-                    for t in memo[token]:
+                    hit = memo.get(token)
+                    if hit is None:
+                        hit = tuple(term_ids[t] for t in terms_of(token) if t in term_ids)
+                        if len(token) <= MEMO_CHARS:
+                            memo[token] = hit
+                    for t in hit:
                         tf[t] = tf.get(t, 0) + c
                 rows.append(sorted(tf.items()))
             if len(memo) > 300_000:

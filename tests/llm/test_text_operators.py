@@ -257,3 +257,10 @@ def test_toxicity_samples_a_rare_label_first(spark):
     assert len(model.labels) == 60 and sum(model.labels) == 6 and "scum" in model.term_ids
     assert sum(model.weights[y] for y in model.labels) == pytest.approx(60)
     assert model.weights[0] / model.weights[1] == pytest.approx(400 / 54)
+
+
+def test_long_tokens_are_scored_whole():
+    token = "x" * 100 + "nasty" + "y" * 100
+    assert {"nasty", "^xxxx", "yyyy$", token} <= set(toxicity.terms_of(token))
+    model = toxicity.ToxicityModel(["nasty"], np.array([1.0]), [(1, 1, {0: 1}), (2, 0, {})], 0.5, 5)
+    assert model.counts(token) == {0: 1} and token not in model.memo
