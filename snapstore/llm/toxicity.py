@@ -158,7 +158,7 @@ class ToxicityModel:
                 self.known.clear()
             nearest = self.index.nearest(self.weigh(tf), self.k)
             p = float(np.interp(self.vote(nearest), *self.knots))
-            self.known[key] = (min(1.0, max(0.0, p)), [(s, self.ids[e]) for s, e in nearest[:5]])
+            self.known[key] = (min(1.0, max(0.0, p)), [(s, self.ids[e]) for s, e in nearest])
         return self.known[key]
 
 
@@ -260,7 +260,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", s
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
     """Columns ``row`` (the document's own), ``score``, ``predicted`` (1 from ``threshold`` on) and ``evidence``
-    (cosine and id of the nearest examples).  One pass without a shuffle.  Null and empty texts have no terms and
+    (cosine and id of all examples that voted).  One pass without a shuffle.  Null and empty texts have no terms and
     get the score of texts without evidence; repeated rows get the same score; nothing but the text is an input.
     The broadcast model is bounded by ``sample_rows`` and ``max_terms``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -264,3 +264,11 @@ def test_long_tokens_are_scored_whole():
     assert {"nasty", "^xxxx", "yyyy$", token} <= set(toxicity.terms_of(token))
     model = toxicity.ToxicityModel(["nasty"], np.array([1.0]), [(1, 1, {0: 1}), (2, 0, {})], 0.5, 5)
     assert model.counts(token) == {0: 1} and token not in model.memo
+
+
+def test_evidence_gives_the_score_again():
+    model = toxicity.ToxicityModel(["nasty"], np.array([1.0]), [(e, int(e % 3 > 0), {0: 1}) for e in range(12)], 0.5, 9)
+    score, evidence = model.score("nasty")
+    assert len(evidence) == 9
+    vote = model.vote([(s, model.ids.index(d)) for s, d in evidence])
+    assert score == pytest.approx(float(np.interp(vote, *model.knots)))
