@@ -56,7 +56,7 @@ def pack(spark, docs, sf_dir):
 
 STAGES = [("toxicity", drop_toxic), ("line dedup", cut_boilerplate), ("MinHash near-dedup", drop_near_duplicates), ("benchmark decontamination", drop_contaminated), ("packing", pack)]
 
-#: Classification, similarity groups and token ids are beyond SQL; tests hold each stage against brute force.
+#: Classification, similarity groups and token ids are beyond SQL; tests check examples of each stage, not whole results.
 ORACLE_SQL = None
 
 
