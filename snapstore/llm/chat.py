@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import batches, ship
+from .workspace import batches, lean, ship
 
 #: Roles with a name of their own in the template.
 ROLE_NAMES = {"system": "System", "user": "User", "assistant": "Assistant", "tool": "Tool"}
@@ -129,7 +129,7 @@ def format_conversations(turns: DataFrame, loss_roles: tuple[str, ...] = ("assis
         if state is not None:
             yield leave()
 
-    return ordered.mapInArrow(run, "conv_id long, part long, formatted string, spans array<struct<first long, last long>>, roles array<string>, escaped long")
+    return ordered.mapInArrow(lean(run), "conv_id long, part long, formatted string, spans array<struct<first long, last long>>, roles array<string>, escaped long")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -170,7 +170,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
         if rows:
             yield batch_of()
 
-    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, escaped_turns long")
+    return formatted.mapInArrow(lean(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, escaped_turns long")
 
 
 def probe_conversation(spark) -> DataFrame:

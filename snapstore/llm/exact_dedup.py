@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import batches, lower_ascii, materialise, ship
+from .workspace import batches, lean, lower_ascii, materialise, ship
 
 
 class Node:
@@ -153,7 +153,7 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id",
                 yield from leave(task)
         yield from leave(task)
 
-    members = materialise(keyed.mapInArrow(local, "id long, rep long, len int, hash long, sha string, best long, copies long, norm binary"), "exact_dedup")
+    members = materialise(keyed.mapInArrow(lean(local), "id long, rep long, len int, hash long, sha string, best long, copies long, norm binary"), "exact_dedup")
 
     def globally(source):
         owners, reps, last = _owners(better, memory), [], None
@@ -175,6 +175,6 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id",
         yield leave()
 
     reps = members.where(F.col("norm").isNotNull()).select("rep", "best", "copies", "len", "hash", "norm")
-    owned = reps.repartition("len", "hash").sortWithinPartitions("len", "hash").mapInArrow(globally, "rep long, keep_id long, group_size long")
+    owned = reps.repartition("len", "hash").sortWithinPartitions("len", "hash").mapInArrow(lean(globally), "rep long, keep_id long, group_size long")
     found = members.select("id", "rep", "sha").join(owned, "rep")
     return found.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))

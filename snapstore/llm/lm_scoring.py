@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import batches, materialise, ship
+from .workspace import batches, lean, materialise, ship
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -224,7 +224,7 @@ def score_documents(docs: DataFrame, vocabulary: str, train, iterations: int = 2
         if place:
             yield from words_of()
 
-    table = materialise(slim.mapInArrow(blocks, ddl), "lm_scoring")
+    table = materialise(slim.mapInArrow(lean(blocks), ddl), "lm_scoring")
     words = materialise(table.where("word IS NOT NULL").groupBy("word").agg(F.sum("c").alias("c")), "lm_scoring")
     texts = table.where("word IS NULL")
     seen, types = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0))).first()
@@ -243,7 +243,7 @@ def score_documents(docs: DataFrame, vocabulary: str, train, iterations: int = 2
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["piece", "weight"])
 
         weight = np.full(len(log_p), 1e-3)
-        for r in words.where("c > 0").select("word").mapInArrow(expect, "piece long, weight double").groupBy("piece").agg(F.sum("weight").alias("weight")).collect():
+        for r in words.where("c > 0").select("word").mapInArrow(lean(expect), "piece long, weight double").groupBy("piece").agg(F.sum("weight").alias("weight")).collect():
             weight[r["piece"]] += r["weight"]
         log_p = np.log(weight / weight.sum())
 
@@ -258,7 +258,7 @@ def score_documents(docs: DataFrame, vocabulary: str, train, iterations: int = 2
             lp = np.where(c > 0, np.logaddexp(whole, by_pieces + math.log(left)), by_pieces + math.log(left)) / math.log(10)
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(lp)], ["word", "c", "lp"])
 
-    priced = words.mapInArrow(probability, "word string, c long, lp double")
+    priced = words.mapInArrow(lean(probability), "word string, c long, lp double")
     looked = table.where("word IS NOT NULL").select(F.col("block").alias("home"), "idx", "word").join(priced, "word").select("home", "idx", "c", "lp")
     end_lp = math.log10(max(ends - discount, 0.5) / n) if n and ends else math.log10(0.5)
     floor = math.log10(n + 0.5 * (v + 1))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import batches, materialise, ship
+from .workspace import batches, lean, materialise, ship
 
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -40,7 +40,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted distinct 64-bit hashes of a text's word shingles."""
 
-    def __init__(self, words: int, limit: int = 300_000):
+    def __init__(self, words: int, limit: int = 150_000):
         import xxhash
 
         self.words, self.limit, self.memo, self.hash = words, limit, {}, xxhash.xxh3_64_intdigest
@@ -175,7 +175,7 @@ class NearDedup:
                 kinds = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))], ["id", "n", "key", "sig", "bands"])
 
-        return materialise(self.texts.mapInArrow(run, "id long, n long, key binary, sig binary, bands array<long>"), "near_dedup")
+        return materialise(self.texts.mapInArrow(lean(run), "id long, n long, key binary, sig binary, bands array<long>"), "near_dedup")
 
     def sets_of(self, ids: DataFrame) -> DataFrame:
         """Full sets of the documents with these ids: ``node``, ``shingles``."""
@@ -189,7 +189,7 @@ class NearDedup:
 
         # a merge join at every size: the ids grow with the corpus, so a plan that broadcasts them can't last
         wanted = self.texts.join(ids.select(F.col("node").alias("id")).distinct().hint("merge"), "id", "left_semi")
-        return materialise(wanted.mapInArrow(run, "node long, shingles binary"), "near_dedup")
+        return materialise(wanted.mapInArrow(lean(run), "node long, shingles binary"), "near_dedup")
 
     def screened(self, edges: DataFrame, nodes: DataFrame) -> DataFrame:
         """Edges (a, b) that sizes and signatures do not rule out."""
@@ -204,7 +204,7 @@ class NearDedup:
                     near = may_link(x, y, batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), percent / 100) >= 0
                     yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(near))
 
-        return both.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+        return both.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(lean(run), "a long, b long")
 
     def confirm(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) whose full sets reach the threshold."""
@@ -217,7 +217,7 @@ class NearDedup:
                 keep = [linked(np.frombuffer(x, "u8"), np.frombuffer(y, "u8"), percent) for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        return materialise(both.mapInArrow(run, "a long, b long"), "near_dedup")
+        return materialise(both.mapInArrow(lean(run), "a long, b long"), "near_dedup")
 
     def missed(self, nodes: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
         """Links between components that share a bucket (a, b): those that connect, not all of them."""
@@ -288,7 +288,7 @@ class NearDedup:
             for a, b in all_cells():
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-        return materialise(dealt.mapInArrow(run, "a long, b long"), "near_dedup")
+        return materialise(dealt.mapInArrow(lean(run), "a long, b long"), "near_dedup")
 
     def result(self) -> DataFrame:
         table = self.signatures()

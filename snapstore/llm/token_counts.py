@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import load_tokenizer, special_strings, units_of
-from .workspace import batches, ship
+from .workspace import batches, lean, ship
 
 #: Fixed value: the pre-token pattern that byte-level BPE vocabularies of this family are used with.
 PRE_TOKEN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -29,7 +29,7 @@ def prove_whole_tokens(tokenizer) -> frozenset[str]:
 class TokenCounter:
     """Counts tokens of whole texts; ``merged`` counts how many pre-tokens needed the merge table."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 300_000):
         import regex
 
         self.tokenizer = load_tokenizer(path)
@@ -95,4 +95,4 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col
 
     slim = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
-    return slim.mapInArrow(count, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)
+    return slim.mapInArrow(lean(count), f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)

@@ -8,32 +8,26 @@ so an executor that is lost afterwards costs nothing but its running tasks.
 from __future__ import annotations
 
 import atexit
-import os
-import tempfile
+import ctypes
 import uuid
-import zipfile
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  makes pa.compute available
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..plans import lineage
+from ..plans.lineage import shared_dir
+
 _tables: dict[str, list[tuple[SparkSession, str]]] = {}
-_shipped: set[str] = set()
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; our own only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = Path(tempfile.mkdtemp(prefix="snapstore-")).as_uri()
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+#: Bytes of an Arrow batch between the JVM and Python: a batch of 10,000 long texts would be held four times over.
+BATCH_BYTES = 4 << 20
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -64,17 +58,24 @@ def release(*names: str) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package's source to the executors, once a session, so that they need no copy of the repository."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    _shipped.add(app)
-    top = Path(__file__).resolve().parent.parent
-    target = os.path.join(tempfile.mkdtemp(prefix="snapstore-zip-"), "snapstore_src.zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, p.relative_to(top.parent))
-    spark.sparkContext.addPyFile(target)
+    """The package's source goes to the executors; Arrow batches are bounded by bytes."""
+    lineage.ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def lean(run):
+    """``run`` for a task of a worker that lives on: memory that it no longer uses goes back to the system at its end."""
+
+    def task(source):
+        try:
+            yield from run(source)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return task
 
 
 def lower_ascii(c: Column) -> Column:
@@ -82,7 +83,7 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def batches(source: Iterator[pa.RecordBatch], text: str, max_bytes: int = 4 << 20) -> Iterable[pa.RecordBatch]:
+def batches(source: Iterator[pa.RecordBatch], text: str, max_bytes: int = 1 << 20) -> Iterable[pa.RecordBatch]:
     """Slices of the incoming batches with about ``max_bytes`` of text each, one row at least."""
     for batch in source:
         n = batch.num_rows
@@ -119,7 +120,5 @@ def with_decisions(docs: DataFrame, id_col: str, text_col: str, make, fields: st
                 yield pa.RecordBatch.from_arrays([part.column("row"), *arrays], kind.names)
 
     arrow_kinds = [to_arrow_type(f.dataType) for f in kind.fields[1:]]
-    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")).mapInArrow(run, kind)
-
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")).mapInArrow(lean(run), kind)
 
-import pyarrow.compute  # noqa: E402, F401  makes pa.compute available
