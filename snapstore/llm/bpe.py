@@ -69,7 +69,7 @@ class UnitMemo:
     after their call, and after many such calls it starts anew, in case the texts have changed.
     """
 
-    def __init__(self, path: str, limit: int = 280_000):
+    def __init__(self, path: str, limit: int = 400_000):
         self.tokenizer = load_tokenizer(path)
         self.specials = special_strings(self.tokenizer)
         self.limit, self.memo, self.overflows = limit, {}, 0
@@ -85,37 +85,61 @@ class UnitMemo:
         A unit of Latin letters is one pre-token, so its merges are asked for directly; one punctuation mark after
         a letter is a pre-token of its own.  All other units go through the library's whole chain.
         """
-        memo, rest, merge, letters = self.memo, [], self.tokenizer.model.tokenize, _LETTERS.fullmatch
+        memo, rest, merge, letters, tails = self.memo, [], self.tokenizer.model.tokenize, _LETTERS.fullmatch, self.tails
         for u in units:
-            tail = self.tails.get(u[-1:])
-            core = u if tail is None else u[:-1]
-            if letters(core):
-                found = memo.get(core) if tail else None
-                if found is None:
-                    found = array("I", [t.id for t in merge("\u0120" + core.encode().decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
-                memo[u] = found + tail if tail else found
+            tail = None
+            if u.isalpha():
+                core = u
             else:
-                rest.append(u)
+                tail = tails.get(u[-1:])
+                if tail is None:
+                    rest.append(u)
+                    continue
+                core = u[:-1]
+            found = memo.get(core) if tail else None
+            if found is None:
+                if core.isascii() and core.isalpha():
+                    shown = core
+                elif letters(core):
+                    shown = core.encode().decode("latin-1").translate(_BYTE_CHARS)
+                else:
+                    rest.append(u)
+                    continue
+                found = array("I", [t.id for t in merge("\u0120" + shown)]).tobytes()
+            memo[u] = found + tail if tail else found
         for k in range(0, len(rest), 20_000):
             part = rest[k : k + 20_000]
             memo.update(zip(part, self._library([u if u[:1] == "\n" else " " + u for u in part]), strict=True))
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null counts as empty."""
-        special = [any(s in t for s in self.specials) if t else False for t in texts]
-        cut = [units_of(t) if t and not s else [] for t, s in zip(texts, special, strict=True)]
-        needed = {u for units in cut for u in units[1:]} - self.memo.keys()
+        get, needed, firsts, wholes, parts = self.memo.get, {}, [], [], []
+        for t in texts:
+            if t and any(s in t for s in self.specials):
+                wholes.append(t)
+                parts.append(None)
+            elif t:
+                units = units_of(t)
+                firsts.append(units[0])
+                found = list(map(get, units))
+                found[0] = b""
+                open_ = [(j, units[j]) for j, f in enumerate(found) if f is None] if None in found else []
+                needed.update((u, None) for _, u in open_)
+                parts.append((found, open_))
+            else:
+                parts.append(([], []))
         self.remember(needed)
-        first = iter(self._library([units[0] for units in cut if units]))
-        whole = iter(self._library([t for t, s in zip(texts, special, strict=True) if s]))
-        look, out = self.memo.__getitem__, []
-        for units, s in zip(cut, special, strict=True):
-            if s:
+        first, whole, look, out = iter(self._library(firsts)), iter(self._library(wholes)), self.memo.__getitem__, []
+        for part in parts:
+            if part is None:
                 out.append(next(whole))
-            elif units:
-                out.append(next(first) + b"".join(map(look, units[1:])))
-            else:
-                out.append(b"")
+                continue
+            found, open_ = part
+            if found:
+                found[0] = next(first)
+            for j, u in open_:
+                found[j] = look(u)
+            out.append(b"".join(found))
         if len(self.memo) > self.limit:
             self.overflows += 1
             for u in needed:
@@ -129,7 +153,8 @@ _memos: dict[str, UnitMemo] = {}
 
 
 def memo_of(path: str) -> UnitMemo:
-    """This worker's memo; it lives as long as the worker."""
+    """This worker's memo; it lives as long as the worker, or until another tokenizer is asked for."""
     if path not in _memos:
+        _memos.clear()
         _memos[path] = UnitMemo(path)
     return _memos[path]

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import memo_of
-from .workspace import batches, ship
+from .workspace import batches, lean, ship
 
 
 class CapacityTree:
@@ -89,13 +89,17 @@ def pack_group(lengths: list[int], capacity: int, fill_gaps: bool = True) -> lis
     return out + bins
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 0, group_docs: int = 512, seed: int = 7, fill_gaps: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: id, ``start``, ``doc_tokens``, ``sequence_id``, ``offset`` and ``ids`` (the piece's ids).
+def pack_documents(
+    docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 0, group_docs: int = 512, group_ids: int = 1 << 21, seed: int = 7, fill_gaps: bool = True, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True
+) -> DataFrame:
+    """One row per piece: id, ``start``, ``length``, ``ids_crc32`` (of the piece's ids), ``doc_tokens``, ``sequence_id``,
+    ``offset``, and with ``keep_ids`` the ``ids`` themselves.
 
     Every text is encoded whole and gets ``end_id``; null texts count as empty (the end id alone).  Groups have
-    about ``group_docs`` documents by a seeded hash of id and text; a group that repeated rows make larger is
-    cut every 2 x ``group_docs`` documents, so memory is bounded.  Rows with a null id are packed like others;
-    repeated rows are packed each; an empty table gives an empty result; other columns are not read.
+    about ``group_docs`` documents by a seeded hash of id and text; a group that repeated rows or long texts make larger
+    is cut at 2 x ``group_docs`` documents or ``group_ids`` ids, so memory is bounded by both (and by one document).
+    Rows with a null id are packed like others; repeated rows are packed each; an empty table gives an empty result;
+    other columns are not read.  Encoding, packing and digests are one Python stage: a task has one worker.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -104,55 +108,46 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, e
     n, n_bytes = slim.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     groups = max(1, -(-n // group_docs))
     grouped = slim.withColumn("grp", F.pmod(F.xxhash64("id", "text", F.lit(seed)), F.lit(groups)))
-    parts = max(spark.sparkContext.defaultParallelism, -(-n_bytes // (24 << 20)), 1)
+    parts = max(spark.sparkContext.defaultParallelism, -(-n_bytes // (16 << 20)), 1)
     dealt = grouped.repartition(min(groups, parts), "grp").sortWithinPartitions("grp", "id", "text")
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if keep_ids else [])]
+    kinds = [*[pa.int64()] * 7, *([pa.binary()] if keep_ids else [])]
 
     def pack(source):
-        memo, current, base, held = memo_of(path), None, 0, []
+        memo, current, base, held, held_ids = memo_of(path), None, 0, [], 0
 
         def leave() -> Iterable[pa.RecordBatch]:
-            nonlocal base
+            nonlocal base, held_ids
             sequences = pack_group([len(x[1]) // 4 for x in held], capacity, fill_gaps)
             rows = []
             for k, pieces in enumerate(sequences):
                 at = 0
                 for d, start, n in pieces:
                     doc_id, ids = held[d]
-                    rows.append((doc_id, start, len(ids) // 4, (current << 32) + base + k, at, ids[4 * start : 4 * (start + n)]))
+                    own = ids[4 * start : 4 * (start + n)]
+                    rows.append((doc_id, start, n, zlib.crc32(own), len(ids) // 4, (current << 32) + base + k, at, *([own] if keep_ids else [])))
                     at += n
             base += len(sequences)
             held.clear()
-            for k in range(0, len(rows), 2000):
-                cols = zip(*rows[k : k + 2000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (*[pa.int64()] * 5, pa.binary()), strict=True)], ["doc_id", "start", "doc_tokens", "sequence_id", "offset", "ids"])
+            held_ids = 0
+            for k in range(0, len(rows), 1000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 1000], strict=True), kinds, strict=True)], names)
 
         for batch in batches(source, "text"):
             encoded = memo.encode_all(batch.column("text").to_pylist())
             for group, doc_id, ids in zip(batch.column("grp").to_pylist(), batch.column("id").to_pylist(), encoded, strict=True):
-                if group != current or len(held) >= 2 * group_docs:
+                if group != current or len(held) >= 2 * group_docs or held_ids >= group_ids:
                     if held:
                         yield from leave()
                     if group != current:
                         current, base = group, 0
                 held.append((doc_id, ids + end_id.to_bytes(4, "little")))
+                held_ids += len(ids) // 4 + 1
         if held:
             yield from leave()
 
-    return dealt.mapInArrow(pack, "doc_id long, start long, doc_tokens long, sequence_id long, offset long, ids binary").withColumnRenamed("doc_id", id_col)
-
-
-def piece_digests(pieces: DataFrame, id_col: str = "doc_id", keep_ids: bool = False) -> DataFrame:
-    """``length`` and ``ids_crc32`` of each piece's ids; the ids themselves only with ``keep_ids``."""
-    names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-
-    def digest(source):
-        for batch in source:
-            ids = batch.column("ids").to_pylist()
-            n, crc = pa.array([len(b) // 4 for b in ids], pa.int64()), pa.array([zlib.crc32(b) for b in ids], pa.int64())
-            own = [batch.column(id_col), batch.column("start"), n, crc, *(batch.column(c) for c in ("doc_tokens", "sequence_id", "offset"))]
-            yield pa.RecordBatch.from_arrays([*own, batch.column("ids")], [*names, "ids"]) if keep_ids else pa.RecordBatch.from_arrays(own, names)
-
-    return pieces.mapInArrow(digest, ", ".join(f"{c} long" for c in names) + ", ids binary" * keep_ids)
+    packed = dealt.mapInArrow(lean(pack), ", ".join(f"{c} long" for c in names[:7]) + ", ids binary" * keep_ids)
+    return packed.withColumnRenamed("doc_id", id_col)
 
 
 def ids_of(piece: bytes) -> list[int]:

@@ -48,7 +48,7 @@ def op7_exact_dedup(spark, sf_dir):
 
 def op8_token_shards(spark, sf_dir):
     target = token_shards.write_token_shards(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
-    return token_shards.digests(token_shards.read_token_shards(spark, target))
+    return token_shards.shard_digests(spark, target)
 
 
 def op9_toxicity(spark, sf_dir):
@@ -59,7 +59,7 @@ def op9_toxicity(spark, sf_dir):
 
 
 def op10_packing(spark, sf_dir):
-    return packing.piece_digests(packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)))
+    return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), keep_ids=False)
 
 
 def queries():

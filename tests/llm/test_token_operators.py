@@ -49,7 +49,7 @@ def test_token_counts(spark):
 
 def test_shards_round_trip(spark):
     target = token_shards.write_token_shards(frame(spark, AWKWARD), PATH, shard_bytes=20_000)
-    rows = token_shards.digests(token_shards.read_token_shards(spark, target)).collect()
+    rows = token_shards.shard_digests(spark, target).collect()
     got = sorted(rows, key=lambda r: r["start"])
     at = 0
     order = sorted(AWKWARD, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
@@ -58,7 +58,7 @@ def test_shards_round_trip(spark):
         ids = np.array([*library_ids(text), 0], "<u4")
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
-    readers = [token_shards.ShardReader(target, f"shard-{r['shard']:08d}") for r in spark.read.parquet(target + "/manifest").orderBy("start").collect()]
+    readers = [token_shards.ShardReader(target, r["file"]) for r in spark.read.parquet(target + "/manifest").orderBy("start").collect()]
     assert next(readers[0].scan())[0] is None
     assert [r.get(8).tolist()[-1] for r in readers if 8 in r.index["doc_id"]] == [0]
     with pytest.raises(KeyError):
