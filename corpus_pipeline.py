@@ -51,7 +51,7 @@ def drop_contaminated(spark, docs, sf_dir):
 
 def pack(spark, docs, sf_dir):
     """Sequences of at most 1024 ids: one row a piece, with its ids and their digests."""
-    return packing.piece_digests(packing.pack_documents(docs, public_tokenizers.path(TOKENIZER)), keep_ids=True)
+    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
 
 
 STAGES = [("toxicity", drop_toxic), ("line dedup", cut_boilerplate), ("MinHash near-dedup", drop_near_duplicates), ("benchmark decontamination", drop_contaminated), ("packing", pack)]
