@@ -1,20 +1,22 @@
 """Language-model scores from a subword lattice.
 
-The pieces are those of an existing subword vocabulary.  A word is a path through the lattice of its pieces, and its
-probability is the sum over *all* paths, found by a forward recursion in log space.  The available vocabulary file
-carries merge ranks as scores, not log probabilities; the ranks give the prior (Zipf: 1 / (rank + 10)), and the
-pieces' probabilities come from it by expectation maximisation over the distinct words of all training documents:
-each gives up the same discount (below), so each weighs the same in what the discounted mass is spread over.
+The pieces are those of an existing subword vocabulary, weighted by its own scores.  A word is a path through the
+lattice of its pieces, and its probability is the sum over *all* paths, found by a forward recursion in log space.  The
+vocabulary file at hand carries merge ranks as scores, not log probabilities; a piece of rank r weighs 1 / (r + 10)
+(Zipf), over the sum of all.  With ``iterations``, that many rounds of expectation maximisation over the distinct words
+of the training documents refit the weights to the corpus; each word weighs the same in them, as each gives up the
+same discount (below).
 
 A whole word that training has seen is one more arc of its lattice: its discounted relative frequency, with the
 discounted mass left to the paths of pieces.  A text is its words and an end; its score is the sum of their log10
 probabilities.
 
-Flow, with nothing collected but one weight a piece:
+Flow, with nothing collected but (with iterations) one weight a piece:
 
     documents -> blocks of about 32 MB (no shuffle): distinct words with counts, documents as word places  [table]
     words -> counts over all blocks -> one row a distinct word                                              [table]
-    distinct words -> expected piece counts -> piece probabilities -> lattice log probability of each word
+    (with iterations: distinct words -> expected piece counts -> piece probabilities)
+    distinct words -> lattice log probability of each word
     (block, place) <- word                          one shuffle by word, one by block
     block: documents' sums
 """
@@ -178,12 +180,12 @@ def pieces_of(path: str) -> Pieces:
     return _pieces[path]
 
 
-def score_documents(docs: DataFrame, vocabulary: str, train, iterations: int = 2, discount: float = 0.6, block_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, vocabulary: str, train, iterations: int = 0, discount: float = 0.6, block_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
 
     ``train`` is a boolean column of ``docs``: the rows to learn from (null: learn).  A-Z are lower-cased; tokens are
     the words between ASCII white space and one end.  ``base_score`` is the smoothed unigram word model's log10
-    probability, ``score`` the lattice's.  Null and empty texts are the end alone; a null id is an id like others;
+    probability, ``score`` the lattice's (``iterations``: rounds that refit the pieces' weights; none by default).  Null and empty texts are the end alone; a null id is an id like others;
     repeated rows count and are scored each; without training rows all counts are 0 and the score comes from the
     prior; an empty table gives an empty result; other columns are not read.
     """

@@ -90,9 +90,39 @@ def test_lm_scores(spark):
         expected[i, held(i), len(tokens(t)), sum(counts[w] > 0 for w in tokens(t)), n, round(base, 4)] += 1
     assert collections.Counter((r[0], r[1], r[2], r[3], r[4], round(r[5], 4)) for r in got) == expected
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
+    refit = lm_scoring.score_documents(docs, PIECES, train=F.crc32(docs["doc_id"].cast("string")) % 5 != 1, iterations=2, block_bytes=5000).collect()
+    of_words = lambda rows: sum(r["score"] for r in rows if r["doc_id"] and r["doc_id"] >= 100)
+    assert of_words(refit) > of_words(got)
     assert lm_scoring.score_documents(frame(spark, []), PIECES, train=F.lit(True)).collect() == []
 
 
+def test_document_scores_equal_brute_force(spark):
+    """The marginal of whole documents: a sum over all paths of each word, and the arcs of words seen in training."""
+    pieces = lm_scoring.pieces_of(PIECES)
+    log_p = dict(zip(pieces.strings, pieces.prior, strict=True))
+
+    def spelled(s):
+        if not s:
+            return 1.0
+        out = sum(math.exp(log_p[s[:n]]) * spelled(s[n:]) for n in range(1, len(s) + 1) if s[:n] in log_p)
+        return out if s[0] in log_p else out + math.exp(len(s[0].encode()) * (log_p["<byte>"] - math.log(256))) * spelled(s[1:])
+
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choice(["the", "Then", "oren", "né", "x\U0001f600", f"t{k}"]) for _ in range(rng.randint(0, 9)))) for k in range(40)] + [(None, None), (7, "the then")]
+    learn = lambda i: i is None or i % 3 > 0
+    tokens = lambda t: (t or "").lower().split()
+    counts = collections.Counter(w for i, t in rows if learn(i) for w in tokens(t))
+    ends = sum(learn(i) for i, _ in rows)
+    n, v, d = sum(counts.values()) + ends, len(counts) + 1, 0.6
+    word = {w: max(counts[w] - d, 0) / n + d * v / n * spelled("▁" + w) for _, t in rows for w in tokens(t)}
+    docs = frame(spark, rows).repartition(3)
+    got = lm_scoring.score_documents(docs, PIECES, train=docs["doc_id"] % 3 > 0).select("doc_id", "n_tokens", "score").collect()
+    expected = [(i, len(tokens(t)) + 1, sum(math.log10(word[w]) for w in tokens(t)) + math.log10((ends - d) / n)) for i, t in rows]
+    order = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+    for a, b in zip(sorted(map(tuple, got), key=order), sorted(expected, key=order), strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=1e-9)
+
+
 def test_lm_is_a_distribution():
     """The probability of all words of up to three letters is at most one."""
     pieces = lm_scoring.pieces_of(PIECES)
