@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.commits import commit_text
 from ..functions.hashing import binary
-from ..plans.lineage import cut
+from ..plans.lineage import cut, ship
 
 
 def commit_objects(commits: DataFrame) -> DataFrame:
@@ -29,6 +29,7 @@ def chain(commits: DataFrame, branch: str = "branch", pos: str = "pos") -> DataF
     whatever their length.  The texts come from column expressions; only the chained digest is in Python.
     """
     text = lambda parents: commit_text(F.col("tree"), parents, F.col("author"), F.col("committer"), F.col("message"))
+    ship(commits.sparkSession)
     rows = commits.select(F.col(branch).alias("branch"), F.col(pos).cast("bigint").alias("pos"), binary(text(F.array().cast("array<string>"))).alias("first"), F.octet_length(F.col("tree")).alias("cut"))
     dealt = rows.repartition("branch").sortWithinPartitions("branch", "pos")
     kind = rows.schema["branch"].dataType.simpleString()
@@ -56,7 +57,7 @@ def first_parent_log(commits: DataFrame, tips: DataFrame) -> DataFrame:
     """All commits on the first-parent path of each tip: ``tip``, ``depth`` (0 at the tip), ``hash``, ``found``.
 
     Pointer doubling: after round k the paths are known up to 2^k commits, so a history of n commits takes log n
-    joins.  A commit that is missing ends its path with ``found`` false.
+    joins.  A commit that is missing ends its path with ``found`` false; a path that comes back to itself ends there.
     """
     jump = cut(commits.select("hash", F.expr("try_element_at(filter(parents, p -> p <> ''), 1)").alias("to")).dropDuplicates(["hash"]))
     known = jump.select("hash")
@@ -64,7 +65,7 @@ def first_parent_log(commits: DataFrame, tips: DataFrame) -> DataFrame:
     out, step = reached, 1
     while True:
         more = out.join(jump, "hash").where("to IS NOT NULL").select("tip", (F.col("depth") + F.lit(step)).alias("depth"), F.col("to").alias("hash"))
-        more = cut(more)
+        more = cut(more.join(out.select("tip", "hash"), ["tip", "hash"], "left_anti").select("tip", "depth", "hash"))
         if more.isEmpty():
             break
         out = out.unionByName(more)

@@ -11,10 +11,10 @@ from ..schema import FILE_MODE
 from ..sources.lines import last_wins
 
 
-def candidates(worktree: DataFrame) -> DataFrame:
-    """Normalised paths of files that are not ignored, with their blob ids; contents are dropped early."""
+def candidates(worktree: DataFrame, keep_content: bool = False) -> DataFrame:
+    """Normalised paths of files that are not ignored, with their blob ids; contents are dropped early unless kept."""
     rows = worktree.select(normalize(F.col("path")).alias("path"), F.col("content"))
-    return rows.where(~is_ignored(F.col("path")) & F.col("content").isNotNull()).select("path", blob_hash(F.col("content")).alias("hash"), F.lit(FILE_MODE).alias("mode"))
+    return rows.where(~is_ignored(F.col("path")) & F.col("content").isNotNull()).select("path", blob_hash(F.col("content")).alias("hash"), F.lit(FILE_MODE).alias("mode"), *(["content"] if keep_content else []))
 
 
 def add_delta(found: DataFrame, index: DataFrame) -> DataFrame:

@@ -26,14 +26,14 @@ def short_name(c):
 
 
 def branch_list(refs: DataFrame, head: DataFrame) -> DataFrame:
-    """``name`` and ``is_current``; HEAD is one row."""
-    one = head.select(short_name(F.col("target")).alias("__current"))
+    """``name`` and ``is_current``; HEAD is one row (of more, the largest target counts)."""
+    one = head.agg(F.max(short_name(F.col("target"))).alias("__current"))  # one row, whatever HEAD holds
     return refs.crossJoin(one).select("name", F.coalesce(F.col("name") == F.col("__current"), F.lit(False)).alias("is_current"))
 
 
 def branch_create(refs: DataFrame, head: DataFrame, names: DataFrame) -> DataFrame:
     """Requested names with the outcome: ``created``, ``exists``, or ``no commit``, and the commit they get."""
-    tip = resolve_head(head, refs).select(F.col("commit_hash").alias("tip"))
+    tip = resolve_head(head, refs).agg(F.max("commit_hash").alias("tip"))  # one row
     asked = names.select("name").join(refs.select("name", F.lit(True).alias("known")), "name", "left").crossJoin(tip)
     outcome = F.when(F.col("known"), "exists").when(F.coalesce("tip", F.lit("")) == "", "no commit").otherwise("created")
     return asked.select("name", outcome.alias("outcome"), F.when(outcome == "created", F.col("tip")).alias("commit_hash"))

@@ -26,25 +26,22 @@ def _level(entries: DataFrame) -> DataFrame:
     return folded.withColumn("hash", object_hash("tree", F.unhex("body_hex")))
 
 
-def build_tree(index: DataFrame, max_depth: int | None = None) -> tuple[DataFrame, DataFrame]:
+def build_tree(index: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entries, trees): all tree entries, and all trees (``dir``, ``body_hex``, ``hash``; the root's dir is empty).
 
-    One aggregation a depth, the deepest first.  Entries are ordered by the bytes of the bare name; files always
-    have mode 100644, whatever the index says.
+    The index is computed once and cut; then one aggregation a depth, the deepest first, each cut too, so a level reads
+    what the one below has written, and the plan stays as small whatever the depth.  Entries are ordered by the bytes of
+    the bare name; files always have mode 100644, whatever the index says.  An empty index has no trees.
     """
-    files = drop_conflicts(index).select("path", "hash")
-    files = files.select(parent(F.col("path")).alias("dir"), name(F.col("path")).alias("name"), "hash", depth(F.col("path")).alias("depth"))
-    if max_depth is None:
-        max_depth = files.agg(F.max("depth")).first()[0] or 0
+    files = drop_conflicts(cut(index.select("path", "hash")))
+    files = cut(files.select(parent(F.col("path")).alias("dir"), name(F.col("path")).alias("name"), "hash", depth(F.col("path")).alias("depth")))
     all_entries, all_trees, below = None, None, None
-    for level in range(max_depth, 0, -1):
+    for level in range(files.agg(F.max("depth")).first()[0] or 1, 0, -1):
         own = files.where(F.col("depth") == level).select("dir", F.lit(FILE_MODE).alias("mode"), "name", "hash")
         if below is not None:
             folders = below.select(parent(F.col("dir")).alias("dir"), F.lit(DIR_MODE).alias("mode"), name(F.col("dir")).alias("name"), "hash")
             own = own.unionByName(folders)
-        below = _level(own)
-        if max_depth > 4:
-            below = cut(below)
+        below = cut(_level(own))
         here = own.join(below.select("dir", F.col("hash").alias("tree_hash")), "dir").select("dir", "tree_hash", "mode", "name", "hash", (F.col("mode") == DIR_MODE).alias("is_subtree"))
         all_entries = here if all_entries is None else all_entries.unionByName(here)
         all_trees = below if all_trees is None else all_trees.unionByName(below)

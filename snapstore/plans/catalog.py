@@ -20,7 +20,8 @@ from ..operators import compare, history, index, refs, tree
 from ..schema import DEFAULT_CONFIG, FILE_MODE
 from ..sources import lines, objects
 from ..sources.worktree import read_worktree
-from .lineage import cut
+from . import report
+from .lineage import cut, ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,8 +91,11 @@ def object_path(spark, sf_dir):
 
 
 def object_get(spark, sf_dir):
-    """Point look-up by hash prefix, as key routing does: all objects of one of the 256 folders."""
-    return hashed(spark, sf_dir).where(F.substring("hash", 1, 2) == "a7").select("doc_id", "hash")
+    """Look-up by key: every third key is one that the store lacks."""
+    d = table(spark, sf_dir, "documents").select("doc_id", H.blob_hash(F.col("text")).alias("hash"), F.octet_length("text").cast("bigint").alias("size"))
+    stored = index.dedup_blobs(d).select("hash", "size", F.lit(True).alias("found"))
+    keys = d.select("doc_id", F.when(F.col("doc_id") % 3 == 0, _altered("absent:")).otherwise(F.col("hash")).alias("hash"))
+    return keys.join(stored, "hash", "left").select("doc_id", "hash", F.coalesce("size", F.lit(-1).cast("bigint")).alias("size"), F.coalesce("found", F.lit(False)).alias("found"))
 
 
 def hex_roundtrip(spark, sf_dir):
@@ -144,7 +148,7 @@ def index_parse(spark, sf_dir):
 
 
 def index_upsert(spark, sf_dir):
-    w = hashed(spark, sf_dir)
+    w = cut(hashed(spark, sf_dir))
     return index.upsert(_index(w).drop("doc_id"), _candidates(w))
 
 
@@ -192,7 +196,7 @@ def status_untracked(spark, sf_dir):
 
 
 def status_all(spark, sf_dir):
-    w = hashed(spark, sf_dir)
+    w = cut(hashed(spark, sf_dir))  # used five times: texts are read and hashed once
     return compare.status(_index(w), _head(w), _disk(w))
 
 
@@ -206,23 +210,23 @@ def status_footer(spark, sf_dir):
 def tree_leaf_hash(spark, sf_dir):
     """Trees of the folders that hold files only."""
     w = hashed(spark, sf_dir)
-    _, trees = tree.build_tree(w, 3)
+    _, trees = tree.build_tree(w)
     return trees.where(P.depth(F.col("dir")) == 2).select("dir", "hash")
 
 
 def tree_nested_root(spark, sf_dir):
-    _, trees = tree.build_tree(hashed(spark, sf_dir), 3)
+    _, trees = tree.build_tree(hashed(spark, sf_dir))
     return trees.where("dir = ''").select("hash")
 
 
 def tree_entries(spark, sf_dir):
-    entries, _ = tree.build_tree(hashed(spark, sf_dir), 3)
+    entries, _ = tree.build_tree(hashed(spark, sf_dir))
     return tree.tree_entries(entries)
 
 
 def tree_expand(spark, sf_dir):
     """The root's files after building: the round trip of a snapshot."""
-    entries = cut(tree.build_tree(hashed(spark, sf_dir), 3)[0])
+    entries = cut(tree.build_tree(hashed(spark, sf_dir))[0])
     root = entries.where("dir = ''").select(F.col("tree_hash").alias("root")).distinct()
     return tree.expand(cut(tree.tree_entries(entries)), root).select("path", "hash")
 
@@ -344,6 +348,33 @@ def config_get_default(spark, sf_dir):
     return refs.config_get(config, keys)
 
 
+def resolve_head_tree(spark, sf_dir):
+    """HEAD -> branch -> commit -> tree, over all commits."""
+    c = _commits(spark, sf_dir).select("branch", "pos", "tree").join(_chained(spark, sf_dir).select("branch", "pos", "hash"), ["branch", "pos"])
+    return refs.resolve_head(_one_head(spark), _refs(spark, sf_dir), c)
+
+
+def index_format(spark, sf_dir):
+    """Index rows as the lines of the index file, in byte order of the path."""
+    return lines.format_index(_index(hashed(spark, sf_dir)))
+
+
+def config_format(spark, sf_dir):
+    """Settings as the lines of the configuration file, in byte order of the key."""
+    return lines.format_config(config_last_wins(spark, sf_dir))
+
+
+def negotiate_answer(spark, sf_dir):
+    """JSON answers, one a request of one chunk; stored chunks are not asked for."""
+    asked, stored = _chunks(hashed(spark, sf_dir))
+    missing = compare.negotiate(asked, stored)
+    return missing.select("sha256", report.json_answer(F.array("sha256")).alias("answer"))
+
+
+def health(spark, sf_dir):
+    return spark.range(1).select(*[F.lit(v).alias(k) for k, v in report.HEALTH.items()])
+
+
 def config_list(spark, sf_dir):
     config = table(spark, sf_dir, "nation").where("n_nationkey = 1").select(F.lit("user.name").alias("key"), F.col("n_name").alias("value"))
     return refs.config_list(config)
@@ -383,17 +414,19 @@ def negotiate_request(spark, sf_dir):
     return parsed.select("doc_id", "valid", F.array_join(F.transform("chunks", lambda c: c["sha256"]), ",").alias("asked")).select("doc_id", "valid", F.when(F.col("valid"), F.col("asked")).otherwise("").alias("asked"))
 
 
-# -- bytes and files: not in SQL --------------------------------------------------------------------------------
+# -- bytes and files ------------------------------------------------------------------------------------------
 
 
 def zlib_roundtrip(spark, sf_dir):
+    ship(spark)
     d = table(spark, sf_dir, "documents").select("doc_id", H.payload("blob", F.col("text")).alias("payload")).withColumn("stream", H.deflate(F.col("payload")))
-    return d.select("doc_id", F.octet_length("stream").cast("bigint").alias("stored"), (H.inflate(F.col("stream")) == F.col("payload")).alias("same"))
+    back = d.select("doc_id", F.octet_length("payload").cast("bigint").alias("size"), H.inflate(F.col("stream")).alias("back"))
+    return back.select("doc_id", "size", F.sha2("back", 256).alias("hash"))
 
 
 def tree_decode(spark, sf_dir):
     """Tree objects written as bytes and read back as entries."""
-    _, trees = tree.build_tree(hashed(spark, sf_dir), 3)
+    _, trees = tree.build_tree(hashed(spark, sf_dir))
     return objects.decode_trees(tree.tree_objects(trees))
 
 
@@ -410,7 +443,7 @@ _ALL = (
     blob_hash, blob_dedup, object_path, object_get, hex_roundtrip, blob_decode, ignore_filter, normalize_path, path_parts, index_parse, index_upsert, add_delta, index_remove, worktree_candidates,
     status_staged, status_modified, status_deleted, status_untracked, status_all, status_footer, tree_leaf_hash, tree_nested_root, tree_entries, tree_expand, tree_conflict_drop, restore_blobs,
     commit_chain, commit_payload_size, log_first_parent, commit_decode, commit_tree_pointer, signature_parse, merge_first_parent, resolve_head, branch_list, branch_create, set_head_normalize,
-    config_parse, config_last_wins, config_get_default, config_list, checkout_delta, checkout_missing_objects, negotiate_stub, negotiate, negotiate_request, zlib_roundtrip, tree_decode, worktree_scan,
+    config_parse, config_last_wins, config_get_default, config_list, resolve_head_tree, index_format, config_format, negotiate_answer, health, checkout_delta, checkout_missing_objects, negotiate_stub, negotiate, negotiate_request, zlib_roundtrip, tree_decode, worktree_scan,
 )
 
 

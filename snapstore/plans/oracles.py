@@ -50,7 +50,8 @@ ORACLES = {
     "blob_hash": f"SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS size, {_BLOB} AS hash FROM documents",
     "blob_dedup": f"SELECT {_BLOB} AS hash, count(*) AS copies, min(doc_id) AS first_doc, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes FROM documents GROUP BY 1",
     "object_path": f"WITH {_W} SELECT doc_id, substr(hash, 1, 2) || '/' || substr(hash, 3) AS object_path FROM w",
-    "object_get": f"WITH {_W} SELECT doc_id, hash FROM w WHERE hash LIKE 'a7%'",
+    "object_get": f"""WITH {_W} SELECT w.doc_id, CASE WHEN w.doc_id % 3 = 0 THEN sha256('absent:' || hash) ELSE hash END AS hash,
+        CASE WHEN w.doc_id % 3 <> 0 THEN CAST(octet_length(encode(text)) AS BIGINT) ELSE CAST(-1 AS BIGINT) END AS size, w.doc_id % 3 <> 0 AS found FROM w JOIN documents d ON d.doc_id = w.doc_id""",
     "hex_roundtrip": f"WITH {_W} SELECT doc_id, hash, CAST(octet_length(unhex(hash)) AS BIGINT) AS n_bytes FROM w",
     "blob_decode": "SELECT doc_id, 'blob' AS kind, CAST(octet_length(encode(text)) AS BIGINT) AS size, sha256(text) AS content_sha256 FROM documents",
     "ignore_filter": f"WITH {_ODD} SELECT doc_id, path FROM kept",
@@ -94,6 +95,13 @@ ORACLES = {
             CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '+0000' END AS tz FROM customer""",
     "merge_first_parent": f"WITH RECURSIVE {_CHAIN} SELECT hash, CASE WHEN parent = '' THEN 'other' ELSE parent END AS first_parent FROM chain",
     "resolve_head": f"WITH RECURSIVE {_REFS} SELECT 'b3' AS branch, (SELECT commit_hash FROM refs WHERE name = 'b3') AS commit_hash",
+    "resolve_head_tree": f"""WITH RECURSIVE {_REFS}, tip AS (SELECT commit_hash FROM refs WHERE name = 'b3')
+        SELECT 'b3' AS branch, (SELECT commit_hash FROM tip) AS commit_hash, (SELECT c.tree FROM c JOIN chain ON chain.branch = c.branch AND chain.pos = c.pos WHERE chain.hash = (SELECT commit_hash FROM tip)) AS tree""",
+    "index_format": f"WITH {_PARTS} SELECT mode || ' ' || hash || ' ' || path AS line FROM idx",
+    "config_format": "SELECT event_type || '.' || user_id || ' = ' || arg_max(CAST(event_id AS VARCHAR), event_id) AS line FROM events GROUP BY event_type, user_id",
+    "negotiate_answer": f"""WITH {_W} SELECT hash AS sha256, '{{"missing_chunks":["' || hash || '"],"upload_urls":{{}}}}' AS answer FROM w WHERE hash NOT IN (SELECT hash FROM w WHERE doc_id % 4 = 0)""",
+    "health": "SELECT 'ok' AS status, 'snapstore' AS service",
+    "zlib_roundtrip": f"SELECT doc_id, CAST(octet_length(encode('blob ' || octet_length(encode(text)))) + 1 + octet_length(encode(text)) AS BIGINT) AS size, {_BLOB} AS hash FROM documents",
     "branch_list": f"WITH RECURSIVE {_REFS} SELECT name, name = 'b3' AS is_current FROM refs",
     "branch_create": f"""WITH RECURSIVE {_REFS}, asked AS (SELECT 'b' || (n_nationkey * 5) AS name FROM nation UNION ALL SELECT lower(r_name) FROM region)
         SELECT name, outcome, CASE WHEN outcome = 'created' THEN tip END AS commit_hash FROM (
@@ -117,3 +125,4 @@ ORACLES = {
     "negotiate": f"WITH {_W} SELECT hash AS sha256 FROM w WHERE hash NOT IN (SELECT hash FROM w WHERE doc_id % 4 = 0)",
     "negotiate_request": f"WITH {_W} SELECT doc_id, doc_id % 3 = 0 AS valid, CASE WHEN doc_id % 3 = 0 THEN hash || ',' || hash ELSE '' END AS asked FROM w",
 }
+ORACLES["tree_decode"] = ORACLES["tree_entries"]  # what is decoded is what was folded

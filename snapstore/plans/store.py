@@ -23,6 +23,7 @@ from ..functions.paths import STORE
 from ..operators import compare, history, refs, tree
 from ..operators import index as idx
 from ..sources.worktree import read_worktree
+from .lineage import cut
 
 ADD_ONLY = {"objects": S.OBJECTS, "tree_entries": S.TREE_ENTRIES, "commits": S.COMMITS}
 KEYED = {"index": S.INDEX, "refs": S.REFS, "head": S.HEAD, "config": S.CONFIG}
@@ -93,9 +94,10 @@ class Repository:
                 said.append(f"Warning: Skipping unsupported path: {t}" if os.path.exists(full) else f"Error: Path does not exist: {t}")
         if not found:
             return said or ["Nothing specified, nothing added."]
-        work = read_worktree(self.spark, self.root, found)
-        new = idx.add_delta(idx.candidates(work), self.read("index")).select("path", "hash", F.lit(S.FILE_MODE).alias("mode"))
-        blobs = work.where(F.col("content").isNotNull()).select(blob_hash(F.col("content")).alias("hash"), F.lit("blob").alias("type"), F.col("length").alias("size"), payload("blob", F.col("content")).alias("payload"))
+        # files are read and hashed once: what the index names is what is stored, even if a file changes meanwhile
+        work = cut(idx.candidates(read_worktree(self.spark, self.root, found), keep_content=True))
+        new = idx.add_delta(work.select("path", "hash", "mode"), self.read("index")).select("path", "hash", F.lit(S.FILE_MODE).alias("mode"))
+        blobs = work.select("hash", F.lit("blob").alias("type"), F.octet_length("content").cast("bigint").alias("size"), payload("blob", F.col("content")).alias("payload"))
         self.append("objects", blobs.join(new.select("hash").distinct(), "hash", "left_semi"), "hash")
         self.publish("index", idx.upsert(self.read("index"), new))
         return said

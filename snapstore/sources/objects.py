@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.commits import parse_commit
 from ..functions.hashing import deflate, inflate, object_path
+from ..plans.lineage import ship
 
 
 def header_kind(payload: Column) -> Column:
@@ -45,6 +46,8 @@ def _entries(payload: bytes) -> Iterator[tuple[str, str, str]]:
 def decode_trees(objects: DataFrame) -> DataFrame:
     """Tree objects as ``tree_entries``; binary records have no built-in reader, so this is an Arrow function."""
 
+    ship(objects.sparkSession)
+
     def run(source):
         for batch in source:
             rows = [(h, k, m, n, x, m == "040000") for h, p in zip(batch.column("hash").to_pylist(), batch.column("payload").to_pylist(), strict=True) for k, (m, n, x) in enumerate(_entries(p))]
@@ -56,10 +59,12 @@ def decode_trees(objects: DataFrame) -> DataFrame:
 
 def export_objects(objects: DataFrame) -> DataFrame:
     """``object_path`` and the zlib stream of each object."""
+    ship(objects.sparkSession)
     return objects.select(object_path(F.col("hash")).alias("object_path"), deflate(F.col("payload")).alias("stream"))
 
 
 def import_objects(files: DataFrame) -> DataFrame:
     """``object_path``, ``stream`` -> objects."""
+    ship(files.sparkSession)
     rows = files.select(F.regexp_replace("object_path", "/", "").alias("hash"), inflate(F.col("stream")).alias("payload"))
     return rows.select("hash", header_kind(F.col("payload")).alias("type"), F.octet_length(body_of(F.col("payload"))).cast("bigint").alias("size"), "payload")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.paths import IGNORED, STORE, ignores
+from ..plans.lineage import ship
 
 
 class _Slice(InputPartition):
@@ -80,5 +81,6 @@ class WorktreeSource(DataSource):
 
 def read_worktree(spark: SparkSession, root: str, targets: list[str] | None = None) -> DataFrame:
     """``path``, ``length``, ``content`` (null if unreadable) of the files below ``root`` that are not ignored."""
+    ship(spark)
     spark.dataSource.register(WorktreeSource)
     return spark.read.format("worktree").option("targets", "\n".join(targets or ["."])).load(root)

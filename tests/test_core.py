@@ -70,6 +70,29 @@ def test_deep_tree_is_cut(spark):
     assert trees.where("dir = ''").first()["hash"] == plain_tree(deep)[0]
 
 
+@pytest.mark.parametrize("levels", range(1, 13, 3))
+def test_no_file_is_too_deep(spark, levels):
+    files = {"/".join([*(f"d{k}" for k in range(n)), f"f{n}"]): HASHES["a"] for n in range(levels)}
+    root, kept = plain_tree(files)
+    entries, trees = tree.build_tree(frame(spark, files))
+    assert trees.where("dir = ''").first()["hash"] == root and len(kept) == levels
+    got = tree.expand(tree.tree_entries(entries), spark.createDataFrame([(root,)], "root string"))
+    assert {r["path"] for r in got.collect()} == set(files)
+
+
+def test_tree_reads_its_index_once(spark, tmp_path):
+    frame(spark, HASHES).write.parquet(str(tmp_path / "t"))
+    entries, trees = tree.build_tree(spark.read.parquet(str(tmp_path / "t")))
+    for df in (entries, trees):
+        assert "FileScan" not in df._jdf.queryExecution().toString()
+
+
+def test_log_ends_on_a_cycle(spark):
+    df = spark.createDataFrame([(f"c{k}", [f"c{(k + 1) % 5}"]) for k in range(5)], "hash string, parents array<string>")
+    got = history.first_parent_log(df, spark.createDataFrame([("c3",)], "hash string")).collect()
+    assert sorted((r["depth"], r["hash"]) for r in got) == [(0, "c3"), (1, "c4"), (2, "c0"), (3, "c1"), (4, "c2")]
+
+
 def test_expand_missing_subtree(spark):
     root, _ = plain_tree(HASHES)
     entries, _ = tree.build_tree(frame(spark, HASHES))

@@ -45,10 +45,14 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_without_the_optional_operators(tmp_path):
+@pytest.mark.parametrize("gone", [("llm",), ("llm", "corpus_pipeline.py")])
+def test_without_the_optional_operators(tmp_path, gone):
     root = os.path.dirname(os.path.abspath(entry.__file__))
-    shutil.copytree(root, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", ".pytest_cache"))
+    shutil.copytree(root, tmp_path / "r", ignore=shutil.ignore_patterns(".git", *gone, "__pycache__", ".pytest_cache"))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'status_all' in q and not any(x.startswith('op') and x[2].isdigit() for x in q) and 'pipeline' not in q; print(len(q))"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", env=env, capture_output=True, text=True, timeout=120)
     assert done.returncode == 0, done.stderr
+    tests = [sys.executable, "-m", "pytest", "tests", "-q", "-x", "-p", "no:cacheprovider", "-k", "blob_ids or test_entry or test_query and (blob_hash or status_all)"]
+    done = subprocess.run(tests, cwd=tmp_path / "r", env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0 and "4 passed" in done.stdout, done.stdout
