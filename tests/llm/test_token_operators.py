@@ -149,7 +149,45 @@ def test_exact_dedup(spark, keep, memory, weak):
 
 
 def test_trie_holds_every_string_once():
-    rng, trie, seen = random.Random(2), exact_dedup.PatriciaTrie(), {}
+    rng, tries, seen = random.Random(2), exact_dedup.Tries(), {}
     for k in range(3000):
         key = bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 9)))
-        assert trie.insert(key, k) == seen.setdefault(key, k)
+        node = tries.terminal(0, key)
+        if node.rows is None:
+            tries.wait(node, k)
+        assert node.rows[0] == seen.setdefault(key, k)
+    assert {text: node.rows[0] for _, text, node in tries.drain()} == seen
+    assert not tries.roots and not tries.held
+
+
+def test_trie_stores_shared_beginnings_once():
+    tries = exact_dedup.Tries()
+    for k in range(1000):
+        tries.wait(tries.terminal(0, b"p" * 2000 + b"%d" % k), k)
+    assert tries.held < 2000 + 1200 * (exact_dedup.NODE_BYTES + exact_dedup.KEY_BYTES + 3)
+    assert list(tries.roots[0].children) == [ord("p")] and len(tries.roots[0].children[ord("p")].label) == 2000
+
+
+def test_heaviest_subtree_leaves_and_others_stay():
+    tries = exact_dedup.Tries()
+    texts = [b"a" + b"%03d" % k * 40 for k in range(200)] + [b"b%d" % k for k in range(5)]
+    for k, text in enumerate(texts):
+        tries.wait(tries.terminal(0, text), k)
+    before = tries.held
+    gone = {text for _, text, _ in tries.spill(before // 2)}
+    assert gone and all(text[:1] == b"a" for text in gone) and tries.held <= before // 2
+    left = {text for _, text, _ in tries.drain()}
+    assert gone | left == set(texts) and not gone & left
+
+
+def test_spill_keeps_the_path_of_the_last_text():
+    tries, texts = exact_dedup.Tries(), sorted(b"%05d" % (k * 7919 % 100000) * 3 for k in range(2000))
+    owners = {}
+    for k, text in enumerate(texts):
+        tries.wait(tries.terminal(3, text), k)
+        if tries.held > 50_000:
+            out = [t for _, t, _ in tries.spill(25_000, (3, text))]
+            assert text not in out
+            owners |= dict.fromkeys(out, k)
+    owners |= dict.fromkeys((t for _, t, _ in tries.drain()), -1)
+    assert sorted(owners) == texts
