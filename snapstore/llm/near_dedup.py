@@ -7,14 +7,15 @@
 3. Each bucket links its members to its smallest member: a star, so edges grow with members, never with pairs.
 4. Edges whose sizes or signatures rule out the threshold go; the others are confirmed on full sets.
 5. Connected components by alternating large and small stars.
-6. What a star can miss (two members like each other but unlike the centre) is made good exactly: buckets that
-   still hold more than one component are joined to clusters, and in each cluster the documents outside its largest
-   component are held against all others: sizes and signatures first, then full sets, leaving out pairs that links
-   found before already connect.  A cluster returns links of a forest only, never its pairs.  Components are found
-   again with them.
+6. What a star can miss (two members like each other but unlike the centre) is made good exactly.  In each bucket that
+   still holds more than one component, the documents outside its largest component are held against all others by
+   sizes and signatures; the pairs that could link give a forest, whose trees are clusters.  Only in those are full
+   sets compared, leaving out pairs that links found before already connect.  Buckets and clusters return forests only,
+   never their pairs.  Components are found again with them.
 
 A bucket or class that holds a third of all rows is combined before the shuffle (minimum, count) and its joins
-are sort-merge joins, whose hot partitions Spark splits; step 6 deals large clusters out in cells of bounded size.
+are sort-merge joins, whose hot partitions Spark splits; step 6 deals large buckets out in cells of ``cell`` signatures
+a side, and large clusters in cells of ``cell_shingles`` shingles a side (8 MB).
 """
 
 from __future__ import annotations
@@ -150,11 +151,27 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
+def _groups(names):
+    """``find`` and ``join`` of disjoint groups of ``names``."""
+    above = {x: x for x in names}
+
+    def find(x):
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    def join(x, y):
+        above[find(x)] = find(y)
+
+    return find, join
+
+
 class NearDedup:
     """The steps over one table of documents; ``result`` is the whole operator."""
 
-    def __init__(self, docs: DataFrame, shingle_words: int, percent: int, bands: int, rows: int, id_col: str, text_col: str, cell: int):
+    def __init__(self, docs: DataFrame, shingle_words: int, percent: int, bands: int, rows: int, id_col: str, text_col: str, cell: int, cell_shingles: int):
         ship(docs.sparkSession)
+        self.cell_shingles = cell_shingles
         self.spark, self.words, self.percent, self.bands, self.rows, self.cell = docs.sparkSession, shingle_words, percent, bands, rows, cell
         self.texts = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
 
@@ -219,19 +236,17 @@ class NearDedup:
 
         return materialise(both.mapInArrow(lean(run), "a long, b long"), "near_dedup")
 
-    def missed(self, nodes: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
-        """Links between components that share a bucket (a, b): those that connect, not all of them."""
-        bins, percent, cell = self.bands * self.rows, self.percent, self.cell
-        labelled = materialise(nodes.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "n", "sig", "bands"), "near_dedup")
-        members = labelled.select("node", "comp", F.explode("bands").alias("bucket"))
-        mixed = members.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("node").alias("b")).where("low < high").select("bucket", "b")
-        clusters = components(members.join(mixed, "bucket").select(F.col("node").alias("a"), "b").distinct())
-        inside = clusters.select("node", F.col("comp").alias("cluster")).join(labelled.select("node", "comp", "n", "sig"), "node")
-        by_comp = inside.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("size"))
+    def cells(self, inside: DataFrame, weight: str, limit: int, extra: tuple[str, ...] = ()) -> DataFrame:
+        """Rows (cluster, node, comp, n, sig) dealt to cells (cluster, x, y) in which every pair of a document outside
+        its cluster's largest component and any other document meets.
+
+        A cell holds a chunk of strays and one more chunk, of strays or of the largest component; a chunk has about
+        ``limit`` of ``weight``.
+        """
+        by_comp = inside.groupBy("cluster", "comp").agg(F.sum(weight).alias("size"))
         largest = by_comp.groupBy("cluster").agg(F.max_by("comp", "size").alias("main"), F.max("size").alias("main_size"), F.sum("size").alias("all_size"))
-        side = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(cell))).cast("long")
+        side = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(limit))).cast("long")
         sized = largest.select("cluster", "main", side(F.col("all_size") - F.col("main_size")).alias("strays"), side(F.col("main_size")).alias("mains"))
-        # a cell holds a chunk of strays and one more chunk, of strays or of the largest component
         up_to = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
         rows = inside.join(sized, "cluster").withColumn("stray", F.col("comp") != F.col("main"))
         rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.when(F.col("stray"), F.col("strays")).otherwise(F.col("mains"))))
@@ -239,57 +254,82 @@ class NearDedup:
         with_mains = F.transform(up_to(F.col("mains")), lambda j: F.struct(F.col("mine").alias("x"), (-1 - j).alias("y")))
         as_main = F.transform(up_to(F.col("strays")), lambda i: F.struct(i.alias("x"), (-1 - F.col("mine")).alias("y")))
         rows = rows.withColumn("at", F.explode(F.when(F.col("stray"), F.concat(with_strays, with_mains)).otherwise(as_main)))
-        rows = rows.select("cluster", "at.x", "at.y", "stray", "node", "comp", "n", "sig").join(sets.select("node", "shingles"), "node")
-        dealt = rows.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "node")
-        names = ("cluster", "x", "y", "stray", "node", "comp", "n", "sig", "shingles")
-
-        def run(source):
-            held, key = [], None
+        dealt = rows.select("cluster", "at.x", "at.y", "stray", "node", "comp", "n", "sig", *extra)
+        return dealt.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "node")
 
-            def leave():
-                stray, node, comp, n = (np.array([r[k] for r in held]) for k in range(4))
-                sig = np.frombuffer(b"".join(r[4] for r in held), "u2").reshape(-1, bins)
-                sets = [np.frombuffer(r[5], "u8") for r in held]
-                joined = {int(c): int(c) for c in comp}
+    def in_cells(self, dealt: DataFrame, links) -> DataFrame:
+        """Pairs (a, b), a > b, that ``links`` gives for each cell: ``links(rows, pairs)`` gets the cell's columns from
+        ``node`` on, and ``pairs``: for each stray its row and those rows of other components, the likeliest first,
+        that sizes and signatures let link with it."""
+        bins, percent = self.bands * self.rows, self.percent
+        names = dealt.columns
 
-                def find(c):
-                    while joined[c] != c:
-                        joined[c] = c = joined[joined[c]]
-                    return c
+        def leave(held):
+            stray, node, comp, n, sig, *extra = zip(*held, strict=True)
+            stray, node, comp, n = (np.array(c) for c in (stray, node, comp, n))
+            sig = np.frombuffer(b"".join(sig), "u2").reshape(-1, bins)
 
-                a, b = [], []
+            def pairs():
                 for i in np.flatnonzero(stray):
-                    own = find(int(comp[i]))
                     later = np.arange(len(n)) > i
                     j = np.flatnonzero((later | ~stray) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & (comp != comp[i]))
-                    if not len(j):
-                        continue
-                    share = may_link(sig[j], sig[i], n[j], n[i], percent / 100)
-                    for k in j[np.argsort(-share, kind="stable")[: int((share >= 0).sum())]]:
-                        other = find(int(comp[k]))
-                        if other != own and linked(sets[i], sets[k], percent):
-                            joined[max(own, other)] = own = min(own, other)
-                            a.append(max(int(node[i]), int(node[k])))
-                            b.append(min(int(node[i]), int(node[k])))
-                return a, b
-
-            def all_cells():
-                nonlocal held, key
-                for batch in source:
-                    for r in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                        if r[:3] != key:
-                            if len(held) > 1:
-                                yield leave()
-                            held, key = [], r[:3]
-                        held.append(r[3:])
-                if len(held) > 1:
-                    yield leave()
-
-            for a, b in all_cells():
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                    if len(j):
+                        share = may_link(sig[j], sig[i], n[j], n[i], percent / 100)
+                        yield int(i), j[np.argsort(-share, kind="stable")[: int((share >= 0).sum())]].tolist()
+
+            found = [(max(int(node[i]), int(node[k])), min(int(node[i]), int(node[k]))) for i, k in links((node, comp, *extra), pairs())]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else ([], []))], ["a", "b"])
+
+        def run(source):
+            held, key = [], None
+            for batch in source:
+                for r in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                    if r[:3] != key:
+                        if len(held) > 1:
+                            yield leave(held)
+                        held, key = [], r[:3]
+                    held.append(r[3:])
+            if len(held) > 1:
+                yield leave(held)
 
         return materialise(dealt.mapInArrow(lean(run), "a long, b long"), "near_dedup")
 
+    def missed(self, nodes: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links between components that share a bucket (a, b): those that connect, not all of them."""
+        percent = self.percent
+        labelled = materialise(nodes.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "n", "sig", "bands"), "near_dedup")
+        members = labelled.select("node", "comp", F.explode("bands").alias("bucket"))
+        mixed = members.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("bucket")
+        inside = members.join(mixed, "bucket").select(F.col("bucket").alias("cluster"), "node", "comp").join(labelled.select("node", "n", "sig"), "node")
+
+        def likely(rows, pairs):
+            """A forest of the pairs that sizes and signatures let link."""
+            node, comp = rows
+            find, join = _groups(range(len(node)))
+            for i, others in pairs:
+                for k in others:
+                    if find(k) != find(i):
+                        join(k, i)
+                        yield i, k
+
+        near = self.in_cells(self.cells(inside.withColumn("one", F.lit(1)), "one", self.cell), likely)
+        if near.isEmpty():
+            return near
+        inside = components(near).select("node", F.col("comp").alias("cluster")).join(labelled.select("node", "comp", "n", "sig"), "node")
+
+        def confirmed(rows, pairs):
+            """A forest, over components, of the pairs whose full sets reach the threshold."""
+            _, comp, shingles = rows
+            comp, held = comp.tolist(), [np.frombuffer(x, "u8") for x in shingles]
+            find, join = _groups(comp)
+            for i, others in pairs:
+                for k in others:
+                    if find(comp[k]) != find(comp[i]) and linked(held[i], held[k], percent):
+                        join(comp[k], comp[i])
+                        yield i, k
+
+        return self.in_cells(self.cells(inside.join(sets.select("node", "shingles"), "node"), "n", self.cell_shingles, ("shingles",)), confirmed)
+
     def result(self) -> DataFrame:
         table = self.signatures()
         classes = materialise(table.where("key IS NOT NULL AND id IS NOT NULL").groupBy("key").agg(F.min("id").alias("node")), "near_dedup")
@@ -307,7 +347,7 @@ class NearDedup:
         return named.select("id", F.col("n").alias("n_shingles"), F.coalesce("comp", "own", "id").alias("component_id"))
 
 
-def near_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, id_col: str = "doc_id", text_col: str = "text", cell: int = 2048) -> DataFrame:
+def near_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, id_col: str = "doc_id", text_col: str = "text", cell: int = 2048, cell_shingles: int = 1 << 20) -> DataFrame:
     """One row per input row: id, ``n_shingles`` (set size), ``component_id``, ``kept`` (the id is the component's).
 
     Sets are distinct shingles of ``shingle_words`` words (A-Z lower-cased, cut at ASCII white space); fewer words are
@@ -316,5 +356,5 @@ def near_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands
     a null id link with nothing, have a null component and are kept.  An empty table gives an empty result; other
     columns are not read.
     """
-    out = NearDedup(docs, shingle_words, percent, bands, rows, id_col, text_col, cell).result()
+    out = NearDedup(docs, shingle_words, percent, bands, rows, id_col, text_col, cell, cell_shingles).result()
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -53,7 +53,7 @@ def near_copies(seed, groups=12, copies=12, words=60):
 @pytest.mark.parametrize("k", [2, 5])
 def test_near_dedup_equals_brute_force(spark, k):
     rows = AWKWARD + near_copies(k) + [(2000 + i, "one hot text of several words that many rows repeat") for i in range(50)]
-    got = near_dedup.near_dedup(frame(spark, rows).repartition(4), shingle_words=k, cell=8).collect()
+    got = near_dedup.near_dedup(frame(spark, rows).repartition(4), shingle_words=k, cell=8, cell_shingles=300).collect()
     expected = brute(rows, k)
     assert len(got) == len(rows)
     for r in got:
