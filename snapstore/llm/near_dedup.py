@@ -15,7 +15,7 @@
 
 A bucket or class that holds a third of all rows is combined before the shuffle (minimum, count) and its joins
 are sort-merge joins, whose hot partitions Spark splits; step 6 deals large buckets out in cells of ``cell`` signatures
-a side, and large clusters in cells of ``cell_shingles`` shingles a side (8 MB).
+a side, and large clusters in cells of ``cell_shingles`` shingles a side (2 MB).
 """
 
 from __future__ import annotations
@@ -347,7 +347,7 @@ class NearDedup:
         return named.select("id", F.col("n").alias("n_shingles"), F.coalesce("comp", "own", "id").alias("component_id"))
 
 
-def near_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, id_col: str = "doc_id", text_col: str = "text", cell: int = 2048, cell_shingles: int = 1 << 20) -> DataFrame:
+def near_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, id_col: str = "doc_id", text_col: str = "text", cell: int = 2048, cell_shingles: int = 1 << 18) -> DataFrame:
     """One row per input row: id, ``n_shingles`` (set size), ``component_id``, ``kept`` (the id is the component's).
 
     Sets are distinct shingles of ``shingle_words`` words (A-Z lower-cased, cut at ASCII white space); fewer words are
