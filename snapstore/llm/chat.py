@@ -20,6 +20,7 @@ import re
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,32 +93,36 @@ def render_turn(role: str, text: str) -> tuple[str, int]:
 
 
 def format_conversations(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",), part_chars: int = 1 << 20) -> DataFrame:
-    """Formatted conversations in parts: ``conv_id``, ``part``, ``formatted``, ``spans`` (first and last place, in
-    code points, of each body under the loss mask), ``roles`` and ``escaped`` (turns that needed an escape).
-
-    A conversation is the concatenation of its parts; most have one.  Whole turns fill a part up to ``part_chars``,
-    so a conversation of any length is written and read with bounded memory.  Rows go by conversation and turn
-    (nulls first, ties by role and text); null role or text counts as empty; repeated rows are turns each; rows with
-    a null conversation form one conversation; an empty table gives an empty result; other columns are not read.
+    """Formatted conversations in parts: ``conv_id``, ``part``, ``whole``, ``formatted``, ``spans`` (first and last
+    place, in code points, of each body under the loss mask), ``roles`` and ``escaped`` (turns that needed an escape).
+
+    A conversation is the concatenation of its parts in the order of ``part``, which ascends but may leave gaps; most
+    have one.  ``whole`` says that a part is known to be all of its conversation.  Whole turns fill a part up to
+    ``part_chars``, and turns are dealt to tasks by ranges of (conversation, turn), so a conversation of any length is
+    written by many tasks with bounded memory; only rows of the same turn stay together.  Rows go by conversation and
+    turn (nulls first, ties by role and text); null role or text counts as empty; repeated rows are turns each; rows
+    with a null conversation form one conversation; an empty table gives an empty result; other columns are not read.
     """
     ship(turns.sparkSession)
     slim = turns.select(turns["conv_id"].cast("long").alias("conv_id"), turns["turn"].cast("long").alias("turn"), F.coalesce(turns["role"], F.lit("")).alias("role"), F.coalesce(turns["text"], F.lit("")).alias("text"))
-    ordered = slim.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])), pa.list_(pa.string()), pa.int64()]
-    names = ["conv_id", "part", "formatted", "spans", "roles", "escaped"]
+    ordered = slim.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn", "role", "text")
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])), pa.list_(pa.string()), pa.int64()]
+    names = ["conv_id", "part", "whole", "formatted", "spans", "roles", "escaped"]
 
     def run(source):
-        state, pieces, size, spans, roles, escaped, part = None, [], 0, [], [], 0, 0
+        # parts of later tasks follow those of earlier ones, as ranges do
+        state, pieces, size, spans, roles, escaped, part, edge = None, [], 0, [], [], 0, TaskContext.get().partitionId() << 32, True
 
-        def leave():
-            return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((state[0], part, "".join(pieces), spans, roles, escaped), kinds, strict=True)], names)
+        def leave(whole):
+            return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((state[0], part, whole, "".join(pieces), spans, roles, escaped), kinds, strict=True)], names)
 
         for batch in batches(source, "text", 1 << 20):
             for conv, role, text in zip(batch.column("conv_id").to_pylist(), batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if state is None or conv != state[0] or size >= part_chars:
                     if state is not None:
-                        yield leave()
-                    part = part + 1 if state is not None and conv == state[0] else 0
+                        ends = conv != state[0]
+                        yield leave(ends and not edge)
+                        part, edge = part + 1, not ends
                     state, pieces, size, spans, roles, escaped = (conv,), [], 0, [], [], 0
                 rendered, rounds = render_turn(role, text)
                 if role in loss_roles:
@@ -127,50 +132,68 @@ def format_conversations(turns: DataFrame, loss_roles: tuple[str, ...] = ("assis
                 roles.append(role)
                 size, escaped = size + len(rendered), escaped + (rounds > 0)
         if state is not None:
-            yield leave()
+            yield leave(False)
 
-    return ordered.mapInArrow(lean(run), "conv_id long, part long, formatted string, spans array<struct<first long, last long>>, roles array<string>, escaped long")
+    return ordered.mapInArrow(lean(run), "conv_id long, part long, whole boolean, formatted string, spans array<struct<first long, last long>>, roles array<string>, escaped long")
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests of each conversation from its formatted parts alone; parts of a conversation must follow each other."""
+_COUNTS = ("n_turns", "loss_chars", "formatted_chars", "escaped_turns")
 
-    def run(source):
-        state = None
-        rows = []
 
-        def leave():
-            rows.append((state["conv"], state["turns"], state["all"].hexdigest(), state["loss_chars"], state["loss"].hexdigest(), state["chars"], state["escaped"]))
+def read_back(formatted: DataFrame) -> DataFrame:
+    """Digests of each conversation from its formatted parts alone, in whatever order they come.
 
-        def batch_of():
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "escaped_turns"])
+    Parts are parsed where they lie.  A whole conversation is digested there; of the others the bytes to digest go by
+    conversation and part, as SHA-256 takes them in order: they are streamed, a part at a time.
+    """
+    kinds = [pa.int64(), pa.int64(), *[pa.int64()] * len(_COUNTS), pa.string(), pa.string(), pa.binary(), pa.binary()]
+    names = ["conv_id", "part", *_COUNTS, "turns_sha256", "loss_sha256", "turns", "loss"]
 
+    def parsed(source):
         for batch in source:
+            rows = []
             for r in batch.to_pylist():
-                if state is None or r["part"] == 0:
-                    if state is not None:
-                        leave()
-                        if len(rows) >= 5000:
-                            yield batch_of()
-                            rows.clear()
-                    state = {"conv": r["conv_id"], "turns": 0, "all": hashlib.sha256(), "loss": hashlib.sha256(), "loss_chars": 0, "chars": 0, "escaped": 0}
                 text = r["formatted"]
-                for role, body, _, _ in parse(text):
-                    state["turns"] += 1
-                    state["all"].update(f"{role}\n{body}\n".encode("utf-8", "surrogatepass"))
-                for span in r["spans"]:
-                    body = _CONTROL.sub(lambda m: m[1][1:] + m[2], text[span["first"] : span["last"]])
-                    state["loss"].update(body.encode("utf-8", "surrogatepass"))
-                    state["loss_chars"] += len(body)
-                state["chars"] += len(text)
-                state["escaped"] += r["escaped"]
-        if state is not None:
-            leave()
-        if rows:
-            yield batch_of()
+                turns = [f"{role}\n{body}\n" for role, body, _, _ in parse(text)]
+                loss = [_CONTROL.sub(lambda m: m[1][1:] + m[2], text[span["first"] : span["last"]]) for span in r["spans"]]
+                both = ["".join(x).encode("utf-8", "surrogatepass") for x in (turns, loss)]
+                digests = [hashlib.sha256(x).hexdigest() for x in both] if r["whole"] else [None, None]
+                rows.append((r["conv_id"], r["part"], len(turns), sum(map(len, loss)), len(text), r["escaped"], *digests, *([None, None] if r["whole"] else both)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    def merged(source):
+        conv, counts, hashes = None, None, None
+
+        def done():
+            return {"conv_id": conv, **counts, "turns_sha256": hashes[0].hexdigest(), "loss_sha256": hashes[1].hexdigest()}
 
-    return formatted.mapInArrow(lean(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, escaped_turns long")
+        for batch in source:
+            out = []
+            for r in batch.to_pylist():
+                if counts is not None and r["conv_id"] != conv:
+                    out.append(done())
+                    counts = None
+                if r["turns"] is None:
+                    out.append({c: r[c] for c in slim.names})
+                    continue
+                if counts is None:
+                    conv, counts, hashes = r["conv_id"], dict.fromkeys(_COUNTS, 0), (hashlib.sha256(), hashlib.sha256())
+                hashes[0].update(r["turns"])
+                hashes[1].update(r["loss"])
+                for c in _COUNTS:
+                    counts[c] += r[c]
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=slim)
+        if counts is not None:
+            yield pa.RecordBatch.from_pylist([done()], schema=slim)
+
+    slim = pa.schema([(n, k) for n, k in zip(names, kinds, strict=True) if n not in ("part", "turns", "loss")])
+    numbers = "conv_id long, {}n_turns long, loss_chars long, formatted_chars long, escaped_turns long, turns_sha256 string, loss_sha256 string"
+    parts = formatted.mapInArrow(lean(parsed), numbers.format("part long, ") + ", turns binary, loss binary")
+    in_order = parts.repartition("conv_id").sortWithinPartitions("conv_id", "part")
+    digests = in_order.mapInArrow(lean(merged), numbers.format(""))
+    return digests.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "escaped_turns")
 
 
 def probe_conversation(spark) -> DataFrame:

@@ -50,6 +50,31 @@ def test_chat_format(spark):
     assert chat.read_back(chat.format_conversations(turns.limit(0))).collect() == []
 
 
+def test_long_conversation_is_written_by_several_tasks(spark):
+    rows = [(c, t, "assistant" if t % 2 else "user", f"</turn> {c} {t} é") for c, n in ((1, 3), (5, 900), (9, 2), (None, 5)) for t in range(n)]
+    rows += [(5, None, "user", "a turn without a number"), (5, 7, "assistant", "a second turn 7")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        formatted = chat.format_conversations(turns, part_chars=500)
+        parts = formatted.collect()
+        assert len({r["part"] >> 32 for r in parts if r["conv_id"] == 5}) > 1
+        assert all(not r["whole"] for r in parts if r["conv_id"] == 5)
+        got = [chat.read_back(f).orderBy("conv_id").collect() for f in (formatted, spark.createDataFrame(parts[::-1], formatted.schema).repartition(5))]
+    finally:
+        spark.conf.set(name, before)
+    assert got[0] == got[1] and [r["conv_id"] for r in got[0]] == [None, 1, 5, 9]
+    for r in got[0]:
+        own = sorted((t is not None, t or 0, role, text) for c, t, role, text in rows if c == r["conv_id"])
+        assert r["turns_sha256"] == hashlib.sha256("".join(f"{role}\n{text}\n" for *_, role, text in own).encode()).hexdigest()
+        loss = "".join(text for *_, role, text in own if role == "assistant")
+        assert (r["n_turns"], r["loss_chars"], r["escaped_turns"]) == (len(own), len(loss), sum("</turn>" in text for *_, text in own))
+        assert r["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+        assert r["formatted_chars"] == sum(len(p["formatted"]) for p in parts if p["conv_id"] == r["conv_id"])
+
+
 def test_lattice_equals_enumeration():
     pieces = lm_scoring.pieces_of(PIECES)
     log_p = {s: p for s, p in zip(pieces.strings, pieces.prior, strict=True)}
